@@ -11,6 +11,7 @@ from scholion.llm.common import id_remainder, table
 from scholion.llm.decontam import contaminated, contamination
 from scholion.llm.langid import fit, identify
 from scholion.llm.packing import pack
+from scholion.llm.rindex import long_repeats
 from scholion.llm.simhash import simhash_groups
 
 
@@ -46,11 +47,24 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = long_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op7_decontamination": op7_decontamination,
+    "op9_long_repeats": op9_long_repeats,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
