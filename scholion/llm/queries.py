@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scholion.llm.common import id_remainder, table
 from scholion.llm.decontam import contaminated, contamination
 from scholion.llm.langid import fit, identify
+from scholion.llm.lines import dedup_lines
 from scholion.llm.packing import pack
 from scholion.llm.rindex import long_repeats
 from scholion.llm.simhash import simhash_groups
@@ -35,6 +36,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs.where(~held_out)), extra={"held_out": held_out})
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op9_long_repeats": op9_long_repeats,
 }
@@ -70,6 +77,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": """
+WITH x AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM documents WHERE text IS NOT NULL
+), h AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM x
+), e AS (
+  SELECT *, lead(i) OVER w IS NULL OR coalesce((h + 31 * lag(h) OVER w) % 3 = 0, false) AS ends
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), c AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e
+), g AS (
+  SELECT doc_id, k, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, k
+), r AS (
+  SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, first) > 1 AS gone FROM g
+)
+SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed,
+  md5(coalesce(string_agg(body, chr(10) ORDER BY first) FILTER (NOT gone), '')) AS kept_md5
+FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+""",
     "op7_decontamination": f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
