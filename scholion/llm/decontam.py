@@ -8,7 +8,7 @@ without any shuffle; the hits add up in columns that travel with the text.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.common import as_bytes, map_arrow, materialize
@@ -82,8 +82,8 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items) for every row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block: int = BLOCK, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, *extra, n_words, n_hit, spans, items) for every row of ``docs``.
 
     ``spans`` are the maximal runs [start, end) of hit words and ``items`` the
     ids, sorted as text, of the benchmark items that occur.  Null and wordless
@@ -94,9 +94,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     grams = materialize(ngrams(benchmark, item_col, item_text_col, window), "ngrams")
     blocks = max(1, -(-grams.count() // block))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, text binary, n_words bigint, span array<bigint>, items array<string>"
-    state = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("span"), F.array().cast("array<string>").alias("items"))
+    more = F.struct(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in (extra or {}).items()))
+    state = docs.select(more.alias("more"), as_bytes(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("span"), F.array().cast("array<string>").alias("items"))
+    schema = state.schema
     for k in range(blocks):
         part = grams.where(F.pmod(F.xxhash64("item", "gram"), F.lit(blocks)) == k).collect()
         index = spark.sparkContext.broadcast(Index(part))
@@ -106,7 +106,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = F.transform(F.sequence(F.lit(0), F.size("span") - 2, F.lit(2)), lambda i: F.struct(F.get("span", i).alias("start"), F.get("span", i + 1).alias("end")))
     spans = F.when(F.size("span") > 0, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return state.select(F.col("id").alias("doc_id"), "n_words", spans.alias("spans"), "items").select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    state = state.select("more", "n_words", spans.alias("spans"), "items")
+    return state.select("more.*", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def _scan(index, last: bool):
@@ -119,7 +120,7 @@ def _scan(index, last: bool):
             span.append([x for s in _united([*found, *zip(old[::2], old[1::2], strict=True)]) for x in s])
             items.append(sorted(named.union(had)))
         text = pa.nulls(len(count), pa.binary()) if last else batch.column(1)
-        return pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(count, pa.int64()), pa.array(span, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "span", "items"])
+        return pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(count, pa.int64()), pa.array(span, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["more", "text", "n_words", "span", "items"])
 
     return rows
 

@@ -157,19 +157,29 @@ def _flips(bits: int):
     return rows
 
 
-def links(fps: DataFrame, bits: int = 64, max_bits: int = MAX_BITS) -> DataFrame:
-    """(tab, u, v) that connect all distinct fingerprints (tab, fp) within ``max_bits`` (2 at most) bits of each other."""
+def _paired(cells: DataFrame, max_bits: int) -> DataFrame:
+    return materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _within(it, max_bits), "tab int, u bigint, v bigint"), "pairs")
+
+
+def links(fps: DataFrame, bits: int = 64, max_bits: int = MAX_BITS, every: bool = False) -> DataFrame:
+    """(tab, u, v) that connect all distinct fingerprints (tab, fp) within ``max_bits`` (2 at most) bits of each other.
+
+    ``every``: also the members of a large cell are paired where one bit from a
+    common fingerprint, and hang on the least only if they are over ``CELL`` there.
+    """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2")
-    cells = map_arrow(fps.select("tab", "fp").distinct(), _cells(bits), "cell bigint, fp bigint, tab int")
-    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _within(it, max_bits), "tab int, u bigint, v bigint")
-    found = materialize(found, "pairs")
+    found = _paired(map_arrow(fps.select("tab", "fp").distinct(), _cells(bits), "cell bigint, fp bigint, tab int"), max_bits)
     pairs = found.where("v is not null").distinct()
     large = found.where("v is null").select("tab", F.col("u").alias("fp")).distinct()
     near = map_arrow(large, _flips(bits), "tab int, near bigint, fp bigint")
     if max_bits < 2:  # one bit apart: the one is the other's flip
         near = near.where("near >= fp").join(large.select("tab", F.col("fp").alias("near")), ["tab", "near"]).select("tab", F.col("fp").alias("u"), F.col("near").alias("v"))
         return pairs.unionByName(near.where(f"u <> v and bit_count(u ^ v) <= {max_bits}"))
+    if every:
+        found = _paired(near.select(F.xxhash64("tab", "near").alias("cell"), "fp", "tab"), max_bits)
+        pairs = pairs.unionByName(found.where("v is not null").distinct())
+        near = near.join(found.where("v is null").select("tab", F.col("u").alias("fp")).distinct(), ["tab", "fp"])
     least = near.groupBy("tab", "near").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     star = near.join(least, ["tab", "near"]).where("fp <> v").select("tab", F.col("fp").alias("u"), "v").distinct()
     return pairs.unionByName(star)
@@ -196,3 +206,72 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.coalesce("component_id", F.col(id_col)).alias("component_id"),
     )
+
+
+#: Bands of the long fingerprint, of so many bits, by which texts are compared.
+BANDS = 12
+BAND_BITS = 32
+#: Bits of 384 that texts may differ in to be compared exactly: four deviations above the mean at a similarity of 0.8.
+FAR = 86
+
+
+def _shingle_sets(words: int):
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    return rows
+
+
+def _similar(similarity: float):
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (batch.column(i).to_pylist() for i in (2, 3))
+        on = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            on.append(both >= similarity * (len(x) + len(y) - both))
+        return batch.select([0, 1]).filter(pa.array(on, pa.bool_()))
+
+    return rows
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies.
+
+    Texts are linked if their sets of ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more.  Candidates agree but for two bits in one of
+    ``BANDS`` bands of a long fingerprint, found as in ``simhash_groups``; the sets
+    decide.  Of each group the row of the smallest id stays, of ties the
+    smallest text hash, and one of rows equal in id and text.  Null texts are
+    empty texts; texts without words, or with fewer than a shingle, are near
+    copies of those with the same words only.  All columns pass through.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).alias("key")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), key, row)
+    tables = -(-BANDS * BAND_BITS // 64)
+    prints = fingerprints(source, "key", "text", words, tables).withColumnRenamed("id", "key").groupBy("key").agg(F.first("fp").alias("fp"))
+    prints = materialize(prints, "fingerprints")
+    band = F.array(*(F.shiftrightunsigned(F.col("fp")[k * BAND_BITS // 64], k * BAND_BITS % 64).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for k in range(BANDS)))
+    banded = prints.select("key", F.posexplode(band).alias("tab", "fp"))
+    least = materialize(banded.groupBy("tab", "fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "bands")
+    same = banded.join(least.where("n > 1").select("tab", "fp", F.col("key").alias("b")), ["tab", "fp"]).select(F.col("key").alias("a"), "b")
+    near = links(least, BAND_BITS, every=True)
+    near = near.join(least.select("tab", F.col("fp").alias("u"), F.col("key").alias("a")), ["tab", "u"]).join(least.select("tab", F.col("fp").alias("v"), F.col("key").alias("b")), ["tab", "v"]).select("a", "b")
+    pairs = same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(prints.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("key").alias("b"), F.col("fp").alias("fb")), "b")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = materialize(pairs.where(apart <= FAR).select("a", "b"), "candidates")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = map_arrow(source.select("key", as_bytes("text").alias("text")).join(met, "key", "left_semi"), _shingle_sets(words), "key binary, shingles binary")
+    sets = materialize(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    edges = map_arrow(pairs.select("a", "b", "sa", "sb"), _similar(similarity), "a binary, b binary")
+    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
+    ids = source.groupBy("key").agg(F.min("id").alias("least"))
+    ids = ids.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("key"))).alias("first"))
+    stay = first.select("first.key", "first.least")
+    kept = source.join(stay, "key").where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["key"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
