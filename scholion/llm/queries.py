@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholion.llm.ann import nearest
 from scholion.llm.common import id_remainder, table
+from scholion.llm.ctw import score_texts
 from scholion.llm.decontam import contaminated, contamination
 from scholion.llm.langid import fit, identify
 from scholion.llm.lines import dedup_lines
@@ -54,6 +55,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1)
+
+
 def op9_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = long_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_long_repeats": op9_long_repeats,
     "op10_nearest": op10_nearest,
 }
