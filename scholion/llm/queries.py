@@ -11,6 +11,7 @@ from scholion.llm.ann import nearest
 from scholion.llm.common import id_remainder, table
 from scholion.llm.ctw import score_texts
 from scholion.llm.decontam import contaminated, contamination
+from scholion.llm.html import extract_text
 from scholion.llm.langid import fit, identify
 from scholion.llm.lines import dedup_lines
 from scholion.llm.packing import pack
@@ -38,6 +39,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs.where(~held_out)), extra={"held_out": held_out})
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op5_html_text": op5_html_text,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
