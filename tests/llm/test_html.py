@@ -24,7 +24,7 @@ CASES = [
     ("<title>x</title>shown", "shown"),
     ("</p></div></td>a</b>", "a"),
     ("<tr><td>a</td><td>b</td></tr>", "a\nb"),
-    ("<table><tr><td>o<table><tr><td>i<td>j</table><td>p</table>", "o     p\ni  j"),
+    ("<table><tr><td>o<table><tr><td>i<td>j</table><td>p</table>", "o     p\n\ni  j"),
     ("<a title='a>b' href=x>link</a>", "link"),
     ("", ""),
 ]
