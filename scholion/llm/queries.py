@@ -15,6 +15,7 @@ from scholion.llm.html import extract_text
 from scholion.llm.langid import fit, identify
 from scholion.llm.lines import dedup_lines
 from scholion.llm.packing import pack
+from scholion.llm.passages import near_passages
 from scholion.llm.rindex import long_repeats
 from scholion.llm.simhash import simhash_groups
 
@@ -39,6 +40,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs.where(~held_out)), extra={"held_out": held_out})
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_words", "n_shared", F.size("spans").cast("bigint").alias("n_spans"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_passages": op4_passages,
     "op5_html_text": op5_html_text,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholion.llm.common import as_bytes, byte_buffer, map_arrow, materialize, splitmix
+from scholion.llm.common import as_bytes, byte_buffer, map_arrow, materialize, sliding_least, splitmix
 
 WINDOW = 400
 #: Share of the window that a gram has.
@@ -65,16 +65,6 @@ class Hashes:
         return (self.sums[stop] - self.sums[start]) * self.inverse[start]
 
 
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` consecutive values."""
-    n = len(values)
-    pad = -n % width
-    block = np.append(values, np.full(pad, np.iinfo(values.dtype).max, values.dtype)).reshape(-1, width)
-    before = np.minimum.accumulate(block, axis=1).ravel()
-    after = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[: n - width + 1], before[width - 1 : n])
-
-
 def segments(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Of the texts data[offsets[i]:offsets[i + 1]]: text, first window, windows, and the hashes of minimizer and segment."""
     gram = max(1, int(window * GRAM))
@@ -286,7 +276,7 @@ def long_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     state = by_whole.join(by_gram, "gram").select("gram", "whole", (F.col("times") > 1).alias("twice"), (F.col("kinds") > 1).alias("mixed"))
     met = materialize(seen.join(state, ["gram", "whole"]), "met")
 
-    wanted = met.where("mixed").groupBy("key").agg(F.collect_set(F.struct("s1", "n", "gram", "whole")).alias("parts"))
+    wanted = materialize(met.where("mixed").groupBy("key").agg(F.collect_set(F.struct("s1", "n", "gram", "whole")).alias("parts")), "wanted")
     parts = map_arrow(source.select("key", "text").join(wanted, "key").select("text", "parts"), _extracted(window), "gram bigint, whole bigint, part binary")
     parts = parts.groupBy("gram", "whole").agg(F.first("part").alias("part"))
     found = parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_indexed(window), "gram bigint, whole bigint, start int, stop int, h bigint")
