@@ -24,7 +24,7 @@ def _tables(form: str) -> tuple[str, str, dict[str, str]]:
         b = _base(c, form)
         if b != c and len(b) == 1:
             one.append(c), base.append(b)
-        elif b != c and len(b) > 1 and code < 0x2200:
+        elif b != c and len(b) > 1 and (code < 0x2200 or 0xFB00 <= code <= 0xFB06):
             more[c] = b
     return "".join(one), "".join(base), more
 
@@ -34,7 +34,7 @@ _COMBINING = r"\p{M}+"
 
 
 def strip_accents(c: Column) -> Column:
-    """Compatibility form without marks: ``ᾧ`` is ``ω``, ``ﬁ`` is ``fi``.  Expands characters below U+2200 only."""
+    """Compatibility form without marks: ``ᾧ`` is ``ω``, ``ﬁ`` is ``fi``.  Expands characters below U+2200 and Latin ligatures only."""
     one, base, more = _tables("NFKD")
     out = F.translate(F.regexp_replace(c, _COMBINING, ""), one, base)
     rare = out
