@@ -267,19 +267,29 @@ class Model:
         return total
 
 
+def _step(n: Column) -> Column:
+    """How often, in steps of an eighth of a doubling."""
+    return F.floor(8 * F.log2(n)).cast("int")
+
+
+def _least_step(df: DataFrame, n: Column, most: int) -> int:
+    """The least step of which, with all above, there are ``most`` rows at most."""
+    sizes = sorted(((r["step"], r["count"]) for r in df.groupBy(_step(n).alias("step")).count().collect()), reverse=True)
+    least = 1 << 30
+    for s, k in sizes:
+        if k > most:
+            break
+        least, most = s, most - k
+    return least
+
+
 def train(counted: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Model:
     """The weighted tree of (gram, n), with at most ``nodes`` nodes besides the 255 of the root."""
     tree = context_tree(counted, depth)
-    # nodes by how often they were seen, in steps of an eighth of a doubling
-    step = F.floor(8 * F.log2(F.col("zeros") + F.col("ones"))).cast("int")
-    sizes = sorted(((r["step"], r["count"]) for r in tree.groupBy(step.alias("step")).count().collect()), reverse=True)
-    least, room = 1 << 30, nodes
-    for s, n in sizes:
-        if n > room:
-            break
-        least, room = s, room - n
+    seen = F.col("zeros") + F.col("ones")
+    least = _least_step(tree, seen, nodes)
     names = ["depth", "key", "zeros", "ones", "share"]
-    got = tree.where(step >= least).select(*names).toArrow()
+    got = tree.where(_step(seen) >= least).select(*names).toArrow()
     d, key, zeros, ones, share = (got.column(c).to_numpy() for c in names)
     low = tree.where("depth = 1").select("key", "zeros", "ones", "weighted").toArrow()  # 256 * 255 at most
     low = [low.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted")]
@@ -360,14 +370,15 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     unit = total + 0.5 * (distinct + 1)
     end = next((r["n"] for r in words.where(F.col("word") == F.lit(END)).collect()), 0)
     words = words.where(F.col("word") != F.lit(END))
-    top = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(often).collect()}
-    least = min(top.values(), default=0)
+    least = _least_step(words, F.col("n"), often)
+    top = words.where(_step(F.col("n")) >= least).toArrow()
+    top = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast((model, top, unit, end))
     kind = docs.schema[id_col].dataType.simpleString()
     found = source.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, words array<binary>, times array<bigint>, score double")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = found.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    rare = rare.join(words.where(F.col("n") <= least), "word", "left")
+    rare = rare.join(words.where(_step(F.col("n")) < least), "word", "left")
     term = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(unit))
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(term).alias("rest"))
     return found.join(rare, "row", "left").select(
