@@ -34,9 +34,12 @@ NODES = 1 << 20
 WORDS = 1 << 18
 END = b"\n"
 #: Bytes whose grams are counted at once.
-BLOCK = 1 << 22
-#: Distinct words, or grams, that a task holds before it passes them on.
-HELD = 1 << 20
+BLOCK = 1 << 20
+#: Distinct words, or grams, that a task holds before it passes them on, and rows of a batch that it makes.
+HELD = 1 << 19
+ROWS = 1 << 16
+#: Grams whose probabilities a task remembers.
+CACHE = 1 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -72,11 +75,18 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[list[int], list
 
 
 def _gathered(depth: int):
-    """Texts to (kind, word, gram, n): pre-aggregated words and grams."""
+    """Texts to (word, gram, n): words and grams, counted as far as a task can hold them."""
 
-    def out(words: Counter, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        both = [pa.array([*words, *[None] * len(code)], pa.binary()), pa.array([*[None] * len(words), *code.view(np.int64).tolist()], pa.int64())]
-        return pa.RecordBatch.from_arrays([*both, pa.array([*words.values(), *n.tolist()], pa.int64())], ["word", "gram", "n"])
+    def out(word: pa.Array, gram: pa.Array, n: pa.Array) -> Iterator[pa.RecordBatch]:
+        batch = pa.RecordBatch.from_arrays([word, gram, n], ["word", "gram", "n"])
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+    def out_words(words: Counter) -> Iterator[pa.RecordBatch]:
+        yield from out(pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64()))
+
+    def out_grams(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from out(pa.nulls(len(code), pa.binary()), pa.array(code.view(np.int64)), pa.array(n))
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         if not parts:
@@ -92,12 +102,15 @@ def _gathered(depth: int):
                     words.update(w)
                 words[END] += len(each)
                 parts.append(np.unique(grams(form, depth)[0], return_counts=True))
-                if sum(len(p[0]) for p in parts) > HELD:
+                if sum(len(p[0]) for p in parts) > 2 * HELD:
                     parts = [merged(parts)]
-                if len(words) > HELD or parts and len(parts[0][0]) > HELD:
-                    yield out(words, *merged(parts))
-                    words, parts = Counter(), []
-        yield out(words, *merged(parts))
+                    if len(parts[0][0]) > HELD:
+                        yield from out_grams(*parts.pop())
+                if len(words) > HELD:
+                    yield from out_words(words)
+                    words = Counter()
+        yield from out_words(words)
+        yield from out_grams(*merged(parts))
 
     return run
 
@@ -315,7 +328,7 @@ class Scorer:
         value = np.empty(len(own))
         value[new] = self.model.log10(own[new])
         value[~new] = self.value[place[~new]]
-        if len(self.code) < HELD and new.any():
+        if len(self.code) < CACHE and new.any():
             order = np.argsort(both := np.concatenate([self.code, own[new]]), kind="stable")
             self.code, self.value = both[order], np.concatenate([self.value, value[new]])[order]
         total = np.concatenate([[0.0], np.cumsum(value[at])])
