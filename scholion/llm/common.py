@@ -24,6 +24,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/scholion-{spark.sparkContext.applicationId}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python of 8 MB at most, where the session has Spark's own 64 MB: several copies of one are alive at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "8m")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -31,6 +38,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     the stages before, and what is read twice is computed once.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,6 +67,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if batch.num_rows and (out := rows(batch)) is not None:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
