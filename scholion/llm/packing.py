@@ -1,7 +1,8 @@
 """Packing by cutting-stock column generation.
 
 Texts are cut at multiples of the sequence length; what is left of each is an
-item.  Item lengths make a histogram of at most ``CLASSES`` classes.  A linear
+item.  Items stay whole, unless they fit together so badly (many a little longer
+than half a sequence, say) that all must be cut at a half, a quarter and so on.  Item lengths make a histogram of at most ``CLASSES`` classes.  A linear
 program over patterns (how many items of each class share a sequence) is solved
 by column generation, its columns priced by a knapsack dynamic program.  Rounded
 down patterns and a best fit of the few items that rounding leaves make a plan,
@@ -32,6 +33,8 @@ SALTS = 256
 #: The linear program may be this much above its bound.
 GAP = 5e-4
 ROUNDS = 6000
+#: Share of padding above which items are cut too.
+PADDING = 0.02
 #: Share of the best bound's prices in those that columns are priced by.
 SMOOTH = 0.85
 
@@ -137,8 +140,28 @@ def plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[dict[in
     return out + best_fit(sizes, left, room)
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each text's ids and the end id, cut at multiples of ``length``."""
+def shorter(sizes: np.ndarray, demand: np.ndarray, steps: list[tuple[dict[int, int], int]], room: int) -> int:
+    """The longest halving of ``room`` at which items must be cut for little padding; 0 if they fit together as they are."""
+
+    def padded(demand: np.ndarray, sizes: np.ndarray, steps) -> bool:
+        return sum(n for _, n in steps) > -(-int(demand @ sizes) // room) * (1 + PADDING) + 1
+
+    whole, least = (demand, sizes), room
+    while len(sizes) and padded(*whole, steps) and least > room >> 5:
+        least //= 2
+        count: dict[int, int] = {}
+        for s, n in zip(sizes.tolist(), demand.tolist(), strict=True):
+            for size, k in ((least, s // least), (s % least, 1)) if s < room else ((s, 1),):
+                if size and k:
+                    count[size] = count.get(size, 0) + n * k
+        cut = np.array(sorted(count.items()), np.int64)
+        whole = cut[:, 1], cut[:, 0]
+        steps = plan(cut[:, 0], cut[:, 1], room)
+    return least if least < room else 0
+
+
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, cut: int = LENGTH) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): each text's ids and the end id, cut at multiples of ``length``, and the rest at multiples of ``cut``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,8 +169,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for i, text in enumerate(batch.column(1).to_pylist()):
             ids = np.append(encode((text or b"").decode("utf-8", "replace")), np.array([end], "<u4")).astype("<u4")
             data = memoryview(ids.tobytes())
-            for at in range(0, len(ids), length):
-                part = data[4 * at : 4 * (at + length)]
+            whole = len(ids) // length * length
+            for at in (*range(0, whole, length), *range(whole, len(ids), cut)):
+                part = data[4 * at : 4 * (at + (length if at < whole else cut))]
                 row.append(i)
                 for col, v in zip(cols, (at, len(part) // 4, zlib.crc32(part), len(ids)), strict=True):
                     col.append(v)
@@ -192,15 +216,29 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     for itself; equal lengths are ranked by id and start.  Only the id and text
     columns are read.  An empty table makes no sequence.
     """
-    cut = pieces(docs, tokenizer, id_col, text_col, length, end)
-    cut = cut.withColumn("cls", F.ceil(F.col("length") / width).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    cut = materialize(cut, "pieces")
-    counted = cut.groupBy("cls", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = materialize(counted.select("cls", "salt", "n", before.alias("before")), "ranks")
-    histogram = sorted((r["cls"], r["n"]) for r in before.groupBy("cls").agg(F.sum("n").alias("n")).collect())
-    classes, demand = (np.array(c, np.int64) for c in zip(*histogram, strict=True)) if histogram else (np.empty(0, np.int64),) * 2
-    shared = docs.sparkSession.sparkContext.broadcast(_places(classes, plan(classes, demand, -(-length // width))))
+    def ranks(pieces: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """Pieces of each class that come before a salt's, and how many there are of each class."""
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counted = pieces.groupBy("cls", "salt").agg(F.count(F.lit(1)).alias("n"))
+        counted = materialize(counted.select("cls", "salt", "n", before.alias("before")), "ranks")
+        rows = sorted((r["cls"], r["n"]) for r in counted.groupBy("cls").agg(F.sum("n").alias("n")).collect())
+        classes, demand = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 2
+        return counted, classes, demand
+
+    def made(cut: int) -> DataFrame:
+        found = pieces(docs, tokenizer, id_col, text_col, length, end, cut)
+        salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")
+        return materialize(found.withColumn("cls", F.ceil(F.col("length") / width).cast("int")).withColumn("salt", salt), "pieces")
+
+    room = -(-length // width)
+    cut = made(length)
+    before, classes, demand = ranks(cut)
+    steps = plan(classes, demand, room)
+    if finer := shorter(classes, demand, steps, room):
+        cut = made(finer * width)
+        before, classes, demand = ranks(cut)
+        steps = plan(classes, demand, room)
+    shared = docs.sparkSession.sparkContext.broadcast(_places(classes, steps))
     own = F.row_number().over(Window.partitionBy("cls", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = cut.withColumn("own", own).join(F.broadcast(before.drop("n")), ["cls", "salt"])  # at most SALTS rows a class
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", (F.col("before") + F.col("own")).alias("rank"))
