@@ -216,7 +216,7 @@ def _sql_list(values: list[str]) -> str:
 
 
 @query(f"""WITH t AS (
-  SELECT l_orderkey AS sent, l_linenumber AS tok, {_sql_list(WORDS)}[(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE l_partkey % 7 END + 1)::INT] AS text, {_sql_list(NAMES)}[((l_partkey + l_suppkey) % 7 + 1)::INT] AS ner FROM {_LINES}
+  SELECT l_orderkey AS sent, l_linenumber::INT AS tok, {_sql_list(WORDS)}[(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE l_partkey % 7 END + 1)::INT] AS text, {_sql_list(NAMES)}[((l_partkey + l_suppkey) % 7 + 1)::INT] AS ner FROM {_LINES}
 ), f AS (
   SELECT *, {{fold}} AS f, lead(text) OVER w AS t1, lag(text) OVER w AS p1, lead(text, 2) OVER w AS t2, lead(ner, 2) OVER w AS n2 FROM t WINDOW w AS (PARTITION BY sent ORDER BY tok)
 ), c AS (
