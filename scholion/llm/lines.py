@@ -56,14 +56,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = chunked(base.select("id", "th", "text"), chunk).where("text is not null")
     chunks = chunks.select("id", "th", F.explode(F.filter(_once(body), lambda c: c["stop"] - c["start"] > 1)).alias("c"))
     chunks = chunks.select("id", "th", "c.start", "c.stop", "c.body", F.xxhash64("c.body").alias("h"))
-    often = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    seen = materialize(chunks.join(often, "h"), "chunks")
+    # what is joined to many rows is written first, so that a hot chunk's rows can be split there
+    often = materialize(chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "often")
+    seen = materialize(chunks.join(often.hint("merge"), "h"), "chunks")
     place = F.struct("id", "th", "start")
-    first = seen.groupBy("h", "body").agg(F.min(place).alias("first"))  # the bytes are compared here
+    first = materialize(seen.groupBy("h", "body").agg(F.min(place).alias("first")), "first")  # the bytes are compared here
     gone = seen.join(first, ["h", "body"]).where(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("gone"))
-    gone = gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"), "gone")
-    rows = base.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
+    gone = materialize(gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"), "gone"), "gone")
+    rows = base.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
     rows = rows.withColumn("lines", _once(F.split("text", "\n", -1)))
     starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["stop"]))
     stops = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.size("lines")))
