@@ -7,7 +7,7 @@ weights that the training data give them.
 
 All training bytes are counted, as grams of a context and its next byte.
 Contexts that end alike are weighted together where they are gathered, so no
-task holds more than the contexts under two bytes.  The model that is broadcast
+task holds more than the contexts under three bytes.  The model that is broadcast
 keeps the nodes seen most, ``NODES`` at most; below the last one that is kept its
 estimate stands, so probabilities still sum to one.
 
@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 
 from scholion.llm.common import as_bytes, map_arrow, materialize, splitmix
 
-DEPTH = 4
+DEPTH = 5
 NODES = 1 << 20
+#: Contexts that end in the same so many bytes are weighted in one task.
+GATHERED = 3
+#: Contexts of up to so many bytes are looked up once for all grams that end alike.
+SHORT = 3
 WORDS = 1 << 18
 END = b"\n"
 #: Bytes whose grams are counted at once.
@@ -205,7 +209,7 @@ def _lifted(top: int):
 
 def context_tree(counted: DataFrame, depth: int) -> DataFrame:
     """All nodes but the root's, from (gram, n)."""
-    top = min(2, depth)
+    top = min(GATHERED, depth)
     last = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * top) - 1))
     dealt = counted.select(last.alias("last"), "gram", "n").repartition("last").sortWithinPartitions("last")
     deep = materialize(dealt.mapInArrow(_deep(depth, top), _NODES), "nodes")
@@ -259,24 +263,41 @@ class Model:
             todo = todo[(out[todo] >= 0) & (keys[out[todo]] != key[todo])]
         return out
 
+    def _down(self, code: np.ndarray, decision: np.ndarray, depths: range, known: np.ndarray, rest: np.ndarray, node: np.ndarray) -> None:
+        """Follows each gram's contexts down while they are known.
+
+        The probability so far is ``known + rest * (that of the longer contexts)``;
+        ``node`` is the longest context met, -1 once the path has ended.
+        """
+        live = np.flatnonzero(node >= 0)
+        for d in depths:
+            if not len(live):
+                return
+            context = (code[live] >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
+            child = self.find(np.uint64(d << 56) | (context << np.uint64(8)) | decision[live])
+            on, at = child >= 0, node[live]
+            own, share = self.one[at].astype(float), np.where(on, self.share[at], 1.0)
+            known[live] += rest[live] * share * own
+            rest[live] *= 1 - share
+            node[live] = child
+            live = live[on]
+
     def log10(self, code: np.ndarray) -> np.ndarray:
         """Of each gram, the probability of its last byte after the others."""
-        byte, total = code & np.uint64(255), np.zeros(len(code))
+        short = min(SHORT, self.depth)
+        head, back = np.unique(code & np.uint64((1 << 8 * (short + 1)) - 1), return_inverse=True)
+        total = np.zeros(len(code))
         for k in range(8):
-            decision = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-            p, deeper = np.full(len(code), 0.5), np.zeros(len(code), bool)
-            for d in range(self.depth, -1, -1):
-                context = (code >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
-                at = self.find(np.uint64(d << 56) | (context << np.uint64(8)) | decision)
-                on = at >= 0
-                at = np.maximum(at, 0)
-                if not len(self.key):
-                    break
-                share = np.where(deeper, self.share[at], 1.0)
-                p = np.where(on, share * self.one[at] + (1 - share) * p, p)
-                deeper |= on
-            one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(one, p, 1 - p))
+            first, decision = ((np.uint64(1 << k) | ((c & np.uint64(255)) >> np.uint64(8 - k))) for c in (head, code))
+            node = self.find(first)
+            known, rest = np.where(node >= 0, 0.0, 0.5), (node >= 0).astype(float)
+            self._down(head, first, range(1, short + 1), known, rest, node)  # many grams share their short contexts
+            known, rest, node = known[back], rest[back], node[back]
+            self._down(code, decision, range(short + 1, self.depth + 1), known, rest, node)
+            live = np.flatnonzero(node >= 0)
+            known[live] += rest[live] * self.one[node[live]]
+            one = ((code >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+            total += np.log10(np.where(one, known, 1 - known))
         return total
 
 
