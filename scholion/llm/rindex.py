@@ -277,7 +277,7 @@ def long_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = materialize(seen.join(state, ["gram", "whole"]), "met")
 
     wanted = materialize(met.where("mixed").groupBy("key").agg(F.collect_set(F.struct("s1", "n", "gram", "whole")).alias("parts")), "wanted")
-    parts = map_arrow(source.select("key", "text").join(wanted, "key").select("text", "parts"), _extracted(window), "gram bigint, whole bigint, part binary")
+    parts = map_arrow(source.select("key", "text").join(wanted.hint("merge"), "key").select("text", "parts"), _extracted(window), "gram bigint, whole bigint, part binary")
     parts = parts.groupBy("gram", "whole").agg(F.first("part").alias("part"))
     found = parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_indexed(window), "gram bigint, whole bigint, start int, stop int, h bigint")
     found = materialize(found, "repeats")
@@ -290,7 +290,7 @@ def long_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = met.where("twice").select("key", F.struct(F.col("s1").alias("start"), (F.col("s1") + F.col("n")).alias("stop")).alias("m"))
     marks = materialize(whole.unionByName(some).groupBy("key").agg(F.collect_set("m").alias("marks")), "marks")
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(source.join(marks, "key", "left").select("doc_id", "text", "marks"), _cut(window), f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return map_arrow(source.join(marks.hint("merge"), "key", "left").select("doc_id", "text", "marks"), _cut(window), f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def _extracted(window: int):

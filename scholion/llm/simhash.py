@@ -200,8 +200,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(links(base.select(F.lit(0).alias("tab"), "fp"), max_bits=max_bits).select("u", "v")).withColumnRenamed("node", "fp")
     known = materialize(least.join(roots, "fp", "left").where("n > 1 or root is not null").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")
     whole = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = known.join(whole, "root").select("fp", "component_id")
-    return base.join(found, "fp", "left").select(
+    found = materialize(known.join(whole, "root").select("fp", "component_id"), "found")
+    return base.join(found.hint("merge"), "fp", "left").select(
         F.col(id_col).alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.coalesce("component_id", F.col(id_col)).alias("component_id"),
@@ -260,18 +260,21 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = links(least, BAND_BITS, every=True)
     near = near.join(least.select("tab", F.col("fp").alias("u"), F.col("key").alias("a")), ["tab", "u"]).join(least.select("tab", F.col("fp").alias("v"), F.col("key").alias("b")), ["tab", "v"]).select("a", "b")
     pairs = same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(prints.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("key").alias("b"), F.col("fp").alias("fb")), "b")
+    pairs = pairs.join(prints.select(F.col("key").alias("a"), F.col("fp").alias("fa")).hint("merge"), "a").join(prints.select(F.col("key").alias("b"), F.col("fp").alias("fb")).hint("merge"), "b")
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = materialize(pairs.where(apart <= FAR).select("a", "b"), "candidates")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = map_arrow(source.select("key", as_bytes("text").alias("text")).join(met, "key", "left_semi"), _shingle_sets(words), "key binary, shingles binary")
+    # small sides are written before a join with texts, so that the copies of a text can be split there
+    met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "met")
+    sets = map_arrow(source.select("key", as_bytes("text").alias("text")).join(met.hint("merge"), "key", "left_semi"), _shingle_sets(words), "key binary, shingles binary")
     sets = materialize(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
-    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
     edges = map_arrow(pairs.select("a", "b", "sa", "sb"), _similar(similarity), "a binary, b binary")
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
     ids = source.groupBy("key").agg(F.min("id").alias("least"))
     ids = ids.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("key"))).alias("first"))
-    stay = first.select("first.key", "first.least")
-    kept = source.join(stay, "key").where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["key"])
+    stay = first.select("first.key")
+    # copies meet in the tasks that read them, then one of each task
+    copy = source.groupBy("key").agg(F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"))).alias("row"))
+    kept = copy.join(materialize(stay, "stay").hint("merge"), "key")
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
