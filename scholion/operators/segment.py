@@ -22,7 +22,9 @@ STOPS = [".", "!", "?", ";", "·", "…"]
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tok, text, start, stop, blank): everything in the text, white space too."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("tok", "text"))
+    # texts are dealt by document before they are cut, so that no window moves the many tokens
+    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    cut = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("tok", "text"))
     past = Window.partitionBy("doc_id").orderBy("tok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = F.sum(F.length("text")).over(past).cast("int")
     return cut.withColumn("stop", stop).select("doc_id", "tok", "text", (F.col("stop") - F.length("text")).alias("start"), "stop", F.col("text").rlike(r"(?U)^\s").alias("blank"))
