@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Freed buffers go back to the system: a worker that waits for its next task keeps none.
+pa.set_memory_pool(pa.system_memory_pool())
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
