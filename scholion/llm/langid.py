@@ -26,6 +26,8 @@ GRAM = 3
 CENTROIDS = 4
 #: Sampled texts of each language that centroids are fitted to; all texts if there are fewer.
 PER_LANGUAGE = 1500
+#: Texts drawn beyond one and a half times that, so that chance never leaves too few.
+SPARE = 64
 ROUNDS = 8
 #: Bytes whose n-grams are counted at once.
 BLOCK = 1 << 20
@@ -119,11 +121,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     df[freq["place"]] = freq["n"]
     n, df = df[BUCKETS], df[:BUCKETS]
     idf = np.log((n + 1) / (df + 1)) + 1
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    # texts, not rows: copies must not thin out the sample
+    keyed = known.withColumn("key", F.xxhash64("text"))
+    sizes = {r["lang"]: r["count"] for r in keyed.select("lang", "key").distinct().groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32), idf, np.zeros(1))
-    share = F.element_at(F.create_map(*(x for lang, size in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, 1.5 * per_language / size))))), F.col("lang"))
-    sample = known.withColumn("key", F.xxhash64("text")).where((F.pmod("key", F.lit(1 << 30)) < share * (1 << 30)))
+    share = F.element_at(F.create_map(*(x for lang, size in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, (1.5 * per_language + SPARE) / size))))), F.col("lang"))
+    sample = keyed.where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30))
     sample = sample.groupBy("lang", "key").agg(F.min("text").alias("text"))
     sample = sample.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= per_language)
 

@@ -41,6 +41,14 @@ def test_bounded_sample_and_repeats(spark):
     assert sum(got.get(i) == lang for i, _, lang, _ in rows) / 200 > 0.95
 
 
+def test_copies_do_not_thin_out_the_sample(spark):
+    """Each of many languages with three texts in thousands of copies is learned."""
+    sounds = ["ka", "no", "mi", "ra", "sch", "eit", "ung", "llo", "que", "tz", "wy", "bo"]
+    texts = [(f"l{k:02}", " ".join(sounds[k] + c for c in x) * 9) for k in range(12) for x in ("abcde", "fghij", "klmno")]
+    df = spark.createDataFrame(texts, "lang string, text string").crossJoin(spark.range(200))
+    assert sorted(set(fit(df, per_language=10).langs)) == sorted({lang for lang, _ in texts})
+
+
 def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "text", None, "x")], SCHEMA)
     assert [tuple(r) for r in identify(df, fit(df)).collect()] == [(1, UND, 0.0, True)]
