@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.common import as_bytes, map_arrow, materialize, splitmix
@@ -213,6 +213,10 @@ BANDS = 12
 BAND_BITS = 32
 #: Bits of 384 that texts may differ in to be compared exactly: four deviations above the mean at a similarity of 0.8.
 FAR = 86
+#: Turns in which hubs link what is left of a group before all its pairs in different components are compared.
+HUB_TURNS = 2
+#: Pairs of texts of two values that one block compares.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def _shingle_sets(words: int):
@@ -236,13 +240,44 @@ def _similar(similarity: float):
     return rows
 
 
+def _apart(fa: str, fb: str) -> Column:
+    """Bits in which two long fingerprints differ."""
+    return sum((F.bit_count(F.col(fa)[k].bitwiseXOR(F.col(fb)[k])) for k in range(-(-BANDS * BAND_BITS // 64))), F.lit(0))
+
+
+def _linked(source: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b) of keys, those whose shingle sets are alike."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(prints.select(F.col("key").alias("a"), F.col("fp").alias("fa")).hint("merge"), "a").join(prints.select(F.col("key").alias("b"), F.col("fp").alias("fb")).hint("merge"), "b")
+    pairs = materialize(pairs.where(_apart("fa", "fb") <= FAR).select("a", "b"), "candidates")
+    # small sides are written before a join with texts, so that the copies of a text can be split there
+    met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "met")
+    sets = map_arrow(source.select("key", as_bytes("text").alias("text")).join(met.hint("merge"), "key", "left_semi"), _shingle_sets(words), "key binary, shingles binary")
+    sets = materialize(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+    return materialize(map_arrow(pairs.select("a", "b", "sa", "sb"), _similar(similarity), "a binary, b binary"), "alike")
+
+
+def _unsettled(members: DataFrame, open_: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``members`` with their root so far, and the pairs of values whose texts have several; None if there are none."""
+    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
+    placed = materialize(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    each = placed.groupBy("tab", "fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    left = open_.join(each.select("tab", F.col("fp").alias("u"), F.col("lo").alias("lu"), F.col("hi").alias("hu"), F.col("n").alias("nu")), ["tab", "u"])
+    left = left.join(each.select("tab", F.col("fp").alias("v"), F.col("lo").alias("lv"), F.col("hi").alias("hv"), F.col("n").alias("nv")), ["tab", "v"])
+    cuts = F.ceil(F.col("nu") * F.col("nv") / PAIRS_AT_ONCE).cast("bigint").alias("cuts")
+    left = materialize(left.where(F.least("lu", "lv") != F.greatest("hu", "hv")).select("tab", "u", "v", cuts), "left")
+    return placed, None if left.isEmpty() else left
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies.
 
     Texts are linked if their sets of ``words``-word shingles have a Jaccard
     similarity of ``similarity`` or more.  Candidates agree but for two bits in one of
     ``BANDS`` bands of a long fingerprint, found as in ``simhash_groups``; the sets
-    decide.  Of each group the row of the smallest id stays, of ties the
+    decide.  Every candidate pair is compared unless its texts are linked already:
+    hubs come first, then all pairs in different components.  Of each group the row of the smallest id stays, of ties the
     smallest text hash, and one of rows equal in id and text.  Null texts are
     empty texts; texts without words, or with fewer than a shingle, are near
     copies of those with the same words only.  All columns pass through.
@@ -257,18 +292,38 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     banded = prints.select("key", F.posexplode(band).alias("tab", "fp"))
     least = materialize(banded.groupBy("tab", "fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "bands")
     same = banded.join(least.where("n > 1").select("tab", "fp", F.col("key").alias("b")), ["tab", "fp"]).select(F.col("key").alias("a"), "b")
-    near = links(least, BAND_BITS, every=True)
-    near = near.join(least.select("tab", F.col("fp").alias("u"), F.col("key").alias("a")), ["tab", "u"]).join(least.select("tab", F.col("fp").alias("v"), F.col("key").alias("b")), ["tab", "v"]).select("a", "b")
-    pairs = same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(prints.select(F.col("key").alias("a"), F.col("fp").alias("fa")).hint("merge"), "a").join(prints.select(F.col("key").alias("b"), F.col("fp").alias("fb")).hint("merge"), "b")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = materialize(pairs.where(apart <= FAR).select("a", "b"), "candidates")
-    # small sides are written before a join with texts, so that the copies of a text can be split there
-    met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "met")
-    sets = map_arrow(source.select("key", as_bytes("text").alias("text")).join(met.hint("merge"), "key", "left_semi"), _shingle_sets(words), "key binary, shingles binary")
-    sets = materialize(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
-    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
-    edges = map_arrow(pairs.select("a", "b", "sa", "sb"), _similar(similarity), "a binary, b binary")
+    # with 32 bits a fingerprint has 33 neighbours at most, so that all pairs of values are here and no stars
+    values = materialize(links(least, BAND_BITS, every=True).select("tab", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "values")
+    near = values.join(least.select("tab", F.col("fp").alias("u"), F.col("key").alias("a")), ["tab", "u"]).join(least.select("tab", F.col("fp").alias("v"), F.col("key").alias("b")), ["tab", "v"]).select("a", "b")
+    edges = _linked(source, prints, same.unionByName(near), words, similarity)
+    # what has met the first of a value only: texts of values that hold several, by pairs of values
+    several = least.where("n > 1").select("tab", "fp")
+    open_ = values.join(several.select("tab", F.col("fp").alias("u")), ["tab", "u"], "left_semi").unionByName(values.join(several.select("tab", F.col("fp").alias("v")), ["tab", "v"], "left_semi").select("tab", "u", "v")).distinct()
+    open_ = materialize(open_.unionByName(several.select("tab", F.col("fp").alias("u"), F.col("fp").alias("v"))), "open")
+    ends = open_.select("tab", F.col("u").alias("fp")).unionByName(open_.select("tab", F.col("v").alias("fp"))).distinct()
+    members = materialize(banded.join(ends, ["tab", "fp"]).join(prints.select("key", F.col("fp").alias("long")), "key"), "members")
+    for turn in range(HUB_TURNS):
+        placed, left = _unsettled(members, open_, edges)
+        if not left:
+            break
+        # a member of the component with the most texts of a value, and one of the fewest, meet all others there
+        own = placed.groupBy("tab", "fp", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("key", "long"), F.xxhash64("key", F.lit(turn))).alias("hub"))
+        by = F.struct("n", F.xxhash64("root", F.lit(turn)))
+        hubs = own.groupBy("tab", "fp").agg(F.array_distinct(F.array(F.max_by(F.struct("root", "hub"), by), F.min_by(F.struct("root", "hub"), by))).alias("hubs"))
+        hubs = hubs.select("tab", F.col("fp").alias("v"), F.explode("hubs").alias("h")).select("tab", "v", F.col("h.hub.key").alias("b"), F.col("h.hub.long").alias("fb"), F.col("h.root").alias("rb"))
+        both = left.select("tab", "u", "v").unionByName(left.where("u <> v").select("tab", F.col("v").alias("u"), F.col("u").alias("v")))
+        met = both.join(hubs, ["tab", "v"]).join(placed.select("tab", F.col("fp").alias("u"), F.col("key").alias("a"), F.col("long").alias("fa"), F.col("root").alias("ra")), ["tab", "u"])
+        edges = edges.unionByName(_linked(source, prints, met.where(F.col("ra") != F.col("rb")).where(_apart("fa", "fb") <= FAR).select("a", "b"), words, similarity))
+    else:
+        placed, left = _unsettled(members, open_, edges)
+    if left:  # each text of one value with each of the other, in blocks of a bounded number of pairs
+        x = placed.select("tab", F.col("fp").alias("u"), F.col("key").alias("a"), F.col("long").alias("fa"), F.col("root").alias("ra"))
+        y = placed.select("tab", F.col("fp").alias("v"), F.col("key").alias("b"), F.col("long").alias("fb"), F.col("root").alias("rb"))
+        x = left.select("tab", "u", "v", "cuts").join(x, ["tab", "u"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("cuts")))
+        y = left.select("tab", "u", "v", "cuts").join(y, ["tab", "v"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1))).drop("cuts")
+        on = (F.col("ra") != F.col("rb")) & ((F.col("u") != F.col("v")) | (F.col("a") < F.col("b"))) & (_apart("fa", "fb") <= FAR)
+        met = x.drop("cuts").hint("merge").join(y, ["tab", "u", "v", "salt"]).where(on).select("a", "b")
+        edges = edges.unionByName(_linked(source, prints, met, words, similarity))
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
     ids = source.groupBy("key").agg(F.min("id").alias("least"))
     ids = ids.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))

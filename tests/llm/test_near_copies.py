@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+from scholion.llm import simhash
 from scholion.llm.simhash import drop_near_copies
 
 SCHEMA = "doc_id long, text string, row string, key int"
@@ -34,3 +36,43 @@ def test_one_of_each_group_stays(spark):
     want = sorted([i for i, _ in rows if i not in near] + [600, 603, 604])
     assert got in (want, sorted([*want, 602]))
     assert drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_hundreds_of_edits_of_one_text(spark, monkeypatch):
+    """Edits are near the original and not each other, so that any other hub links none of them."""
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 256)
+    r = random.Random(11)
+    base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts = [base]
+    for _ in range(300):
+        v = list(base)
+        for at in r.sample(range(0, 300, 6), 7):
+            v[at] = "".join(r.choice("ijklmnop") for _ in range(5))
+        texts.append(v)
+    keys = [hashlib.md5(" ".join(t).encode()).digest() for t in texts]
+    assert min(keys) != keys[0]
+    fps = [long_print(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            meet = any((((a ^ b) >> s) & 0xFFFFFFFF).bit_count() <= 2 for a, b in zip(fps[i], fps[j], strict=True) for s in (0, 32))
+            if meet and jaccard(texts[i], texts[j]) >= 0.8:
+                root[find(i)] = find(j)
+    want = len({find(i) for i in range(len(texts))})
+    df = spark.createDataFrame([(i, " ".join(t), "x", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert drop_near_copies(df).count() == want
+
+
+def long_print(w):
+    h = simhash.shingle_hashes(" ".join(w).encode(), 5)
+    out = []
+    for _ in range(6):
+        out.append(simhash.majority(h))
+        h = simhash.splitmix(h)
+    return out
