@@ -56,10 +56,11 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, tables: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, tables: int = 1, repeats: bool = True) -> DataFrame:
     """(id, fp array<long>): ``tables`` 64-bit fingerprints of each row's whole text.
 
-    The first is that of XXH64; the others mix its hashes anew.
+    The first is that of XXH64; the others mix its hashes anew.  Without ``repeats``
+    each shingle counts once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -67,6 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = np.zeros((batch.num_rows, tables), np.uint64)
         for i, text in enumerate(batch.column(1).to_pylist()):
             hashes = shingle_hashes(text, words)
+            hashes = hashes if repeats else np.unique(hashes)
             for k in range(tables):
                 out[i, k] = majority(hashes)
                 hashes = splitmix(hashes) if k + 1 < tables else hashes
@@ -286,7 +288,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).alias("key")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), key, row)
     tables = -(-BANDS * BAND_BITS // 64)
-    prints = fingerprints(source, "key", "text", words, tables).withColumnRenamed("id", "key").groupBy("key").agg(F.first("fp").alias("fp"))
+    prints = fingerprints(source, "key", "text", words, tables, repeats=False).withColumnRenamed("id", "key").groupBy("key").agg(F.first("fp").alias("fp"))
     prints = materialize(prints, "fingerprints")
     band = F.array(*(F.shiftrightunsigned(F.col("fp")[k * BAND_BITS // 64], k * BAND_BITS % 64).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for k in range(BANDS)))
     banded = prints.select("key", F.posexplode(band).alias("tab", "fp"))
