@@ -79,6 +79,7 @@ def op9_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "longest_run",
     )
 
 

@@ -36,14 +36,37 @@ def corpus(seed, n=40):
     return rows
 
 
-@pytest.mark.parametrize("seed,group", [(0, None), (1, None), (2, 1)])
-def test_against_brute_force(spark, monkeypatch, seed, group):
+@pytest.mark.parametrize("seed,limits", [(0, {}), (1, {}), (2, {"group_bytes": 1}), (3, {"group_bytes": 1, "held_bytes": 200}), (4, {"group_bytes": 120, "held_bytes": 400})])
+def test_against_brute_force(spark, seed, limits):
+    """By the index, by hashes that are held, and by hashes that go on."""
     texts = [*corpus(seed), None, "", "a" * 300, "ab" * 90, "x" * 49]
-    if group:  # window hashes instead of an index
-        monkeypatch.setattr(rindex, "GROUP", group)
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in long_repeats(df, window=50).collect()}
-    assert [got[i] for i in range(len(texts))] == brute([(t or "").encode() for t in texts], 50)
+    rows = {r.doc_id: r for r in long_repeats(df, window=50, **limits).collect()}
+    got = {k: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for k, r in rows.items()}
+    raw = [(t or "").encode() for t in texts]
+    assert [got[i] for i in range(len(texts))] == brute(raw, 50)
+    noticed, sampled = brute(raw, 30), brute(raw, 16)
+    for i in range(len(texts)):
+        longest = rows[i].longest_run
+        assert longest >= 16 if noticed[i][1] else longest in (0, *range(16, 100))
+        assert not longest or sampled[i][1]
+
+
+def test_near_copies_in_a_large_group(spark):
+    """Hundreds of edits of one text: hashes that are held, and those that go on."""
+    r = random.Random(9)
+    base = [r.choice("abcdefgh") for _ in range(400)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(r.randrange(0, 4)):
+            t[r.randrange(len(t))] = "z"
+        texts.append("".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute([t.encode() for t in texts], 100)
+    for limits in ({"group_bytes": 2000}, {"group_bytes": 2000, "held_bytes": 4000}):
+        rows = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in long_repeats(df, window=100, **limits).collect()}
+        assert [rows[i] for i in range(len(texts))] == want
 
 
 def test_parts_of_long_texts(spark, monkeypatch):
@@ -60,7 +83,7 @@ def test_parts_of_long_texts(spark, monkeypatch):
         found.add(len(data))
         assert np.all(np.diff(offsets) >= 0)
     assert max(found) <= 300 + 49
-    rows = rindex._occurrences(50)(pa.RecordBatch.from_arrays([pa.array([b"a", b"b", b"c"]), pa.array([t.encode() for t in texts], pa.binary())], ["key", "text"]))
+    rows = rindex._occurrences(50, 0)(pa.RecordBatch.from_arrays([pa.array([b"a", b"b", b"c"]), pa.array([t.encode() for t in texts], pa.binary())], ["key", "text"]))
     covered = {k: sum(n for kk, n in zip(rows["key"].to_pylist(), rows["n"].to_pylist(), strict=True) if kk == k) for k in (b"a", b"b", b"c")}
     assert covered == {k: len(t) - 49 for k, t in zip((b"a", b"b", b"c"), texts, strict=True)}
 
@@ -78,7 +101,8 @@ def test_matching_statistics():
                 a, b = parts[p][i:], parts[q][j:]
                 best = max(best, next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))))
         assert ms[index.starts[p] + i] == best
-    assert index.runs <= len(index.text)
+    assert len(index.letters) == len(index.heads) == len(index.tails) <= index.size == index.lengths.sum()
+    assert all(a != b for a, b in zip(index.letters, index.letters[1:], strict=False))
 
 
 def test_empty(spark):
