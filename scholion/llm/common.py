@@ -74,6 +74,11 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def once(column: Column) -> Column:
+    """Computed once a row: what isn't deterministic is never copied into the lambdas that read it."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholion.llm.common import as_bytes, map_arrow, materialize, splitmix
+from scholion.llm.common import as_bytes, map_arrow, materialize, once, splitmix
 from scholion.llm.graph import components
 
 SEED = 42
@@ -79,107 +79,91 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text")), rows, f"id {kind}, fp array<bigint>")
 
 
-def _weights(count: int) -> np.ndarray:
-    return splitmix(np.arange(1, count + 1, dtype=np.uint64)) | np.uint64(1)
+def _names(segments: int) -> list[int]:
+    """A random number for each segment and count; those of a vector, XORed, name its cell."""
+    return splitmix(np.arange(1, segments * (SEGMENT_BITS + 1) + 1, dtype=np.uint64)).view(np.int64).tolist()
 
 
-def _popcounts(fp: np.ndarray, bits: int) -> np.ndarray:
-    """Bit counts of the segments, a row for each fingerprint."""
-    each = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]
-    return each.reshape(len(fp), -1, SEGMENT_BITS).sum(axis=2, dtype=np.int8)
+def _cells(fps: DataFrame, bits: int) -> DataFrame:
+    """(tab, fp, ..) with ``cell``, a row for each cell at Manhattan distance 0 or 1.
 
-
-def _cells(bits: int):
-    """(tab, fp) to (tab, cell, fp), a row for each cell at Manhattan distance 0 or 1.
-
-    A cell is named by a linear hash of its vector, so that a step adds or takes
-    away one weight; a clash of names only adds a pair to be verified.
+    A step from a cell swaps one number in its name; a clash of names only adds a
+    pair to be verified.
     """
-    weights = _weights(bits // SEGMENT_BITS)
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tab, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        counts = _popcounts(fp, bits)
-        with np.errstate(over="ignore"):
-            own = (counts.astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) + splitmix(tab.astype(np.uint64))
-            up, down = np.nonzero(counts < SEGMENT_BITS), np.nonzero(counts > 0)
-            cell = np.concatenate([own, own[up[0]] + weights[up[1]], own[down[0]] - weights[down[1]]])
-        row = np.concatenate([np.arange(len(fp)), up[0], down[0]])
-        return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[row].view(np.int64)), pa.array(tab[row])], ["cell", "fp", "tab"])
-
-    return rows
+    segments, most = bits // SEGMENT_BITS, SEGMENT_BITS
+    names = f"array({', '.join(f'{x}L' if x > -(1 << 63) else f'-{(1 << 63) - 1}L' for x in _names(segments))})"
+    count = f"transform(sequence(0, {segments - 1}), k -> bit_count(shiftrightunsigned(fp, k * {SEGMENT_BITS}) & {(1 << SEGMENT_BITS) - 1}L))"
+    rows = fps.withColumn("_c", once(F.expr(count))).withColumn("_n", once(F.expr(names)))
+    own = f"aggregate(transform(_c, (x, k) -> _n[{most + 1} * k + x]), xxhash64(tab), (s, x) -> s ^ x)"
+    rows = rows.withColumn("_own", once(F.expr(own)))
+    step = lambda to: f"_own ^ _n[{most + 1} * k + x] ^ _n[{most + 1} * k + x {to}]"
+    near = f"filter(flatten(transform(_c, (x, k) -> array(IF(x < {most}, {step('+ 1')}, NULL), IF(x > 0, {step('- 1')}, NULL)))), y -> y IS NOT NULL)"
+    return rows.withColumn("cell", F.explode(F.concat(F.array("_own"), F.expr(near)))).drop("_c", "_n", "_own")
 
 
 def _within(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell to verified pairs (u, v); rows of large cells pass with v null."""
+    """Rows (cell, fp, tab, root) sorted by cell to verified pairs (u, v) of different roots; rows of large cells pass with v null."""
 
-    def pairs(cell: np.ndarray, fp: np.ndarray, tab: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+    def pairs(cell: np.ndarray, fp: np.ndarray, tab: np.ndarray, root: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
         u, v, t = [fp[large]], [np.zeros(large.sum(), np.int64)], [tab[large]]
         for step in range(1, CELL):
             near = np.nonzero((cell[step:] == cell[:-step]) & ~large[step:])[0]
             if not len(near):
                 break
             a, b = fp[near], fp[near + step]
-            ok = (a != b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= max_bits)
+            ok = (a != b) & (root[near] != root[near + step]) & (np.bitwise_count((a ^ b).view(np.uint64)) <= max_bits)
             u.append(a[ok]), v.append(b[ok]), t.append(tab[near][ok])
         alone = np.concatenate([np.full(len(x), k == 0) for k, x in enumerate(u)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(t)), pa.array(np.concatenate(u)), pa.array(np.concatenate(v), mask=alone)], ["tab", "u", "v"])
 
     rest, ran = None, 0  # the last cell so far, of which ran rows have gone as rows of a large one
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        cell, fp, tab = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest else now
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest else now
+        cell = now[0]
         if not len(cell):
             continue
-        first = np.concatenate([[True], cell[1:] != cell[:-1]])
-        start = np.nonzero(first)[0]
+        start = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0]
         size = np.diff(np.append(start, len(cell)))
         size[0] += ran
         large = np.repeat(size > CELL, np.diff(np.append(start, len(cell))))
         cut = start[-1] if not large[-1] else len(cell)
         if cut:
-            yield pairs(cell[:cut], fp[:cut], tab[:cut], large[:cut])
+            yield pairs(*(x[:cut] for x in now), large[:cut])
         if large[-1]:  # its rows need not wait; those to come are known by one that is kept
-            ran = int(size[-1])
-            rest = [cell[-1:], fp[-1:], tab[-1:]]
+            ran, rest = int(size[-1]), [x[-1:] for x in now]
         else:
-            ran, rest = 0, [x[cut:] for x in (cell, fp, tab)]
+            ran, rest = 0, [x[cut:] for x in now]
     if rest and not ran:
         yield pairs(*rest, np.zeros(len(rest[0]), bool))
 
 
-def _flips(bits: int):
-    flip = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(bits, dtype=np.uint64))]).astype(np.uint64)
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tab, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        near = (fp.view(np.uint64)[:, None] ^ flip).ravel().view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(tab, len(flip))), pa.array(near), pa.array(np.repeat(fp, len(flip)))], ["tab", "near", "fp"])
-
-    return rows
-
-
 def _paired(cells: DataFrame, max_bits: int) -> DataFrame:
-    return materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _within(it, max_bits), "tab int, u bigint, v bigint"), "pairs")
+    cells = cells.select("cell", "fp", "tab", "root").repartition("cell").sortWithinPartitions("cell")
+    return materialize(cells.mapInArrow(lambda it: _within(it, max_bits), "tab int, u bigint, v bigint"), "pairs")
 
 
 def links(fps: DataFrame, bits: int = 64, max_bits: int = MAX_BITS, every: bool = False) -> DataFrame:
     """(tab, u, v) that connect all distinct fingerprints (tab, fp) within ``max_bits`` (2 at most) bits of each other.
 
-    ``every``: also the members of a large cell are paired where one bit from a
-    common fingerprint, and hang on the least only if they are over ``CELL`` there.
+    Fingerprints with the same ``root``, if there is such a column, are connected
+    already and not paired.  ``every``: also the members of a large cell are paired
+    where one bit from a common fingerprint, and hang on the least only if they
+    are over ``CELL`` there.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2")
-    found = _paired(map_arrow(fps.select("tab", "fp").distinct(), _cells(bits), "cell bigint, fp bigint, tab int"), max_bits)
+    root = F.col("root") if "root" in fps.columns else F.col("fp")
+    fps = fps.select("tab", "fp", root.alias("root")).distinct()
+    found = _paired(_cells(fps, bits), max_bits)
     pairs = found.where("v is not null").distinct()
-    large = found.where("v is null").select("tab", F.col("u").alias("fp")).distinct()
-    near = map_arrow(large, _flips(bits), "tab int, near bigint, fp bigint")
+    large = materialize(found.where("v is null").select("tab", F.col("u").alias("fp")).distinct(), "large")
+    near = large.withColumn("near", F.expr(f"explode(transform(sequence(-1, {bits - 1}), k -> IF(k < 0, fp, fp ^ shiftleft(1L, k))))"))
     if max_bits < 2:  # one bit apart: the one is the other's flip
         near = near.where("near >= fp").join(large.select("tab", F.col("fp").alias("near")), ["tab", "near"]).select("tab", F.col("fp").alias("u"), F.col("near").alias("v"))
         return pairs.unionByName(near.where(f"u <> v and bit_count(u ^ v) <= {max_bits}"))
     if every:
-        found = _paired(near.select(F.xxhash64("tab", "near").alias("cell"), "fp", "tab"), max_bits)
+        found = _paired(near.join(fps, ["tab", "fp"]).withColumn("cell", F.xxhash64("tab", "near")), max_bits)
         pairs = pairs.unionByName(found.where("v is not null").distinct())
         near = near.join(found.where("v is null").select("tab", F.col("u").alias("fp")).distinct(), ["tab", "fp"])
     least = near.groupBy("tab", "near").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -279,7 +263,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     similarity of ``similarity`` or more.  Candidates agree but for two bits in one of
     ``BANDS`` bands of a long fingerprint, found as in ``simhash_groups``; the sets
     decide.  Every candidate pair is compared unless its texts are linked already:
-    hubs come first, then all pairs in different components.  Of each group the row of the smallest id stays, of ties the
+    texts of equal bands come first, then near bands, hubs, and all pairs in different components.  Of each group the row of the smallest id stays, of ties the
     smallest text hash, and one of rows equal in id and text.  Null texts are
     empty texts; texts without words, or with fewer than a shingle, are near
     copies of those with the same words only.  All columns pass through.
@@ -292,12 +276,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = materialize(prints, "fingerprints")
     band = F.array(*(F.shiftrightunsigned(F.col("fp")[k * BAND_BITS // 64], k * BAND_BITS % 64).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for k in range(BANDS)))
     banded = prints.select("key", F.posexplode(band).alias("tab", "fp"))
-    least = materialize(banded.groupBy("tab", "fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "bands")
-    same = banded.join(least.where("n > 1").select("tab", "fp", F.col("key").alias("b")), ["tab", "fp"]).select(F.col("key").alias("a"), "b")
+    least = banded.groupBy("tab", "fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = banded.join(materialize(least.select("tab", "fp", F.col("key").alias("b")), "bands").hint("merge"), ["tab", "fp"]).select(F.col("key").alias("a"), "b")
+    edges = _linked(source, prints, same, words, similarity)
+    # what equal values have connected needs no pairs of near values
+    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
+    rooted = prints.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.posexplode(band).alias("tab", "fp"))
+    least = rooted.groupBy("tab", "fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    least = materialize(least.withColumn("root", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.xxhash64("tab", "fp"))).drop("lo", "hi"), "bands")
     # with 32 bits a fingerprint has 33 neighbours at most, so that all pairs of values are here and no stars
     values = materialize(links(least, BAND_BITS, every=True).select("tab", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "values")
     near = values.join(least.select("tab", F.col("fp").alias("u"), F.col("key").alias("a")), ["tab", "u"]).join(least.select("tab", F.col("fp").alias("v"), F.col("key").alias("b")), ["tab", "v"]).select("a", "b")
-    edges = _linked(source, prints, same.unionByName(near), words, similarity)
+    edges = edges.unionByName(_linked(source, prints, near, words, similarity))
     # what has met the first of a value only: texts of values that hold several, by pairs of values
     several = least.where("n > 1").select("tab", "fp")
     open_ = values.join(several.select("tab", F.col("fp").alias("u")), ["tab", "u"], "left_semi").unionByName(values.join(several.select("tab", F.col("fp").alias("v")), ["tab", "v"], "left_semi").select("tab", "u", "v")).distinct()
