@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 # Fixed values.
@@ -18,8 +19,6 @@ LAW_LEAD = r"(?:(?:άρθ\.|άρθρο|αρθ\.|αρθ|παρ\.|παράγραφ
 LAW_WORDS = ("/", "-", ".", ",", "'", "ν", "ν.", "αρθρο", "αρθρ.", "§", "παρ", "παρ.")
 CURRENCY = ("€", "$", "£", "¥")
 
-MENTION = "struct<text:string,label:string,dep:string,head:string,start:int,stop:int,first:int>"
-
 
 def prefix(ner: Column) -> Column:
     return F.when(ner.rlike("^[BIES]-"), F.substring(ner, 1, 1)).when(ner == "O", "O").otherwise("S")
@@ -64,17 +63,14 @@ class _Open:
     """The mention being read."""
 
     def __init__(self, tok: dict, label: str) -> None:
-        self.label, self.text, self.first = label, tok["text"], tok
+        self.label, self.text, self.first, self.last = label, tok["text"], tok, tok
 
     def add(self, tok: dict, bare: bool) -> None:
         self.text += tok["text"] if bare else " " + tok["text"]
         self.last = tok
 
-    last: dict | None = None
-
     def done(self) -> dict:
-        end = self.last or self.first
-        return {"text": self.text, "label": self.label, "dep": self.first["dep"], "head": self.first["head"], "start": self.first["start"], "stop": end["stop"], "first": self.first["tok"]}
+        return {"text": self.text, "label": self.label, "dep": self.first["dep"], "head": self.first["head"], "start": self.first["start"], "stop": self.last["stop"], "first": self.first["tok"]}
 
 
 def _goes_on(open_: str, new: str) -> bool:
@@ -91,61 +87,91 @@ def _connects(label: str, text: str) -> bool:
     return label == "LAW" and (text.isdigit() or text.lower() in LAW_WORDS)
 
 
-def read_mentions(toks: list[dict]) -> list[dict]:
-    """The modern assembler: dates, amounts and law references grow over connectors and each other."""
-    out: list[dict] = []
-    now: _Open | None = None
-
-    def flush() -> None:
-        nonlocal now
-        if now is not None:
-            out.append(now.done())
-        now = None
-
-    for t in toks:
-        text, tag = t["text"], t["ner"] or "O"
+class Reader:
+    """The modern assembler: dates, amounts and law references grow over connectors and each other.
+
+    Tokens of one sentence go in one after the other; mentions come out as they end.
+    """
+
+    def __init__(self) -> None:
+        self.now: _Open | None = None
+
+    def flush(self) -> Iterator[dict]:
+        if self.now is not None:
+            yield self.now.done()
+        self.now = None
+
+    def read(self, t: dict) -> Iterator[dict]:
+        now, text, tag = self.now, t["text"], t["ner"] or "O"
         bare = t["pos"] in ("PUNCT", "SYM") or text.startswith(JOINERS) or now is not None and now.text.endswith(JOINERS)
+        parts = tag.split("-")
+        kind, name = (parts[0] if len(parts) == 2 else "S"), parts[-1].upper()
+        name = "PER" if name == "PERSON" else name
         if tag == "O":
             if now is not None and _connects(now.label, text):
                 now.add(t, bare or now.label != "LAW")
             else:
-                flush()
-            continue
-        parts = tag.split("-")
-        kind, name = (parts[0] if len(parts) == 2 else "S"), parts[-1].upper()
-        name = "PER" if name == "PERSON" else name
-        if name in ("DATE", "LAW", "MONEY", "CARDINAL"):
+                yield from self.flush()
+        elif name in ("DATE", "LAW", "MONEY", "CARDINAL"):
             if now is not None and _goes_on(now.label, name):
                 if now.label in ("CARDINAL", "DATE") and name in ("MONEY", "LAW"):
                     now.label = name
                 now.add(t, bare)
             else:
-                flush()
-                now = _Open(t, name)
+                yield from self.flush()
+                self.now = _Open(t, name)
         elif kind in "BS":
-            flush()
-            now = _Open(t, name)
+            yield from self.flush()
+            self.now = _Open(t, name)
             if kind == "S":
-                flush()
+                yield from self.flush()
         elif now is not None:
             now.add(t, text in JOINERS or now.label in NUMERIC and now.text.endswith(JOINERS))
             if kind == "E":
-                flush()
-    flush()
-    return out
+                yield from self.flush()
+
+
+def read_mentions(toks: list[dict]) -> list[dict]:
+    reader = Reader()
+    return [m for t in toks for m in reader.read(t)] + list(reader.flush())
+
+
+_WORD = ["tok", "text", "ner", "pos", "dep", "head", "start", "stop"]
 
 
 def mentions_by_reading(toks: DataFrame) -> DataFrame:
-    """The columns of ``mentions_by_islands`` from the modern assembler; a sentence is read at once."""
-    word = F.struct("tok", "text", "ner", "pos", "dep", "head", "start", "stop")
-    whole = toks.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    """The columns of ``mentions_by_islands`` from the modern assembler; sentences stream past, sorted."""
+    kind = {c: toks.schema[c].dataType for c in ("doc_id", "sent", "tok", "start", "stop")}
+    fields = [("doc_id", kind["doc_id"]), ("sent", kind["sent"]), ("first", kind["tok"]), *((c, T.StringType()) for c in ("label", "text", "dep", "head")), ("start", kind["start"]), ("stop", kind["stop"])]
+    names = [f[0] for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reader = None, Reader()
+        for batch in batches:
+            out: list[tuple] = []
+
+            def keep(found: Iterator[dict], out=out) -> None:
+                out.extend((*key, *(m[c] for c in names[2:])) for m in found)
 
-    @F.pandas_udf(f"array<{MENTION}>")
-    def read(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: read_mentions(list(w)))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != key:
+                    if key is not None:
+                        keep(reader.flush())
+                    key = row[:2]
+                keep(reader.read(dict(zip(_WORD, row[2:], strict=True))))
+            yield _mentions(out, names, batch.schema)
+            kinds = batch.schema
+        if key is not None:
+            yield _mentions([(*key, *(m[c] for c in names[2:])) for m in reader.flush()], names, kinds)
 
-    out = whole.select("doc_id", "sent", F.explode(read("words")).alias("m"))
-    return out.select("doc_id", "sent", "m.first", "m.label", "m.text", "m.dep", "m.head", "m.start", "m.stop")
+    dealt = toks.select("doc_id", "sent", *_WORD).repartition("doc_id", "sent").sortWithinPartitions("doc_id", "sent", "tok")
+    return dealt.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in fields]))
+
+
+def _mentions(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in names)
+    kinds = [schema.field({"first": "tok", "label": "ner"}.get(n, n)).type for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def trimmed(text: Column, label: Column, sentence: Column | None = None, ancient: bool = False) -> Column:
@@ -163,6 +189,28 @@ def trimmed(text: Column, label: Column, sentence: Column | None = None, ancient
     return F.when(label == "MONEY", money).when(label == "DATE", date).when(label == "LAW", law).otherwise(text)
 
 
+def placed(found: DataFrame, sents: DataFrame, ancient: bool = False) -> DataFrame:
+    """Mentions with the span and text that are left of them, or that they grow to, in their sentence.
+
+    ``sents`` are (doc_id, sent, start, text).  ``start`` and ``stop`` move with what
+    ``trimmed`` cuts off and with the number before a date or the article before a
+    law that it takes in; the text is that between them, as it stands there.
+    """
+    whole = sents.select("doc_id", "sent", F.col("start").alias("_a"), F.col("text").alias("_s"))
+    out = found.join(whole, ["doc_id", "sent"])
+    out = out.withColumn("_r", F.substr("_s", F.col("start") - F.col("_a") + 1, F.col("stop") - F.col("start")))
+    out = out.withColumn("_t", trimmed(F.col("_r"), F.col("label"), None, ancient))
+    out = out.withColumn("_f", F.col("start") + F.greatest(F.instr("_r", F.col("_t")) - 1, F.lit(0)))
+    before = F.substr("_s", F.lit(1), F.col("_f") - F.col("_a"))
+    lead = F.when((F.col("label") == "DATE") & F.col("_t").rlike(r"^[/.\-]"), F.regexp_extract(before, r"(?U)(\d+\s*)$", 1))
+    lead = lead if ancient else lead.when(F.col("label") == "LAW", F.regexp_extract(before, f"(?iuU)({LAW_LEAD})$", 1))
+    out = out.withColumn("_g", F.length(F.coalesce(lead, F.lit(""))))
+    out = out.withColumn("start", (F.col("_f") - F.col("_g")).cast(found.schema["start"].dataType))
+    out = out.withColumn("stop", (F.col("_f") + F.length("_t")).cast(found.schema["stop"].dataType))
+    out = out.where(F.col("start") < F.col("stop")).withColumn("text", F.substr("_s", F.col("start") - F.col("_a") + 1, F.col("stop") - F.col("start")))
+    return out.select(*found.columns)
+
+
 def without_overlaps(spans: DataFrame) -> DataFrame:
     """Of each document's spans, from left to right, those that begin at or after the end of the last one kept.
 
@@ -209,3 +257,53 @@ def rule_tags(toks: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
         out = out.join(known, F.col("text") == F.col("_t"), "left")
         out = out.withColumn("ner", F.when(F.col("_l").isNotNull() & (F.col("ner") == "O"), F.concat(F.lit("S-"), "_l")).otherwise(F.col("ner"))).drop("_t", "_l")
     return out
+
+
+#: Tags of the sentences of a batch: for each token ner, pos, dep and head_id, the head's place in the sentence from 1 or 0.
+Model = Callable[[list[list[str]]], list[list[tuple[str, str, str, int]]]]
+
+
+@functools.cache
+def _loaded(load: Callable[[], Model]) -> Model:
+    return load()
+
+
+def batch_tagger(load: Callable[[], Model], sentences: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """A tagger of tokens by a model, which each Python worker loads once.
+
+    ``load`` is a function of a module, so that workers know it again.  Sentences stream
+    past, sorted, and go to the model ``sentences`` at a time.
+    """
+    tags = [("ner", pa.string()), ("pos", pa.string()), ("dep", pa.string()), ("head_id", pa.int32())]
+
+    def tagged(toks: DataFrame) -> DataFrame:
+        names = [c for c in toks.columns if c not in dict(tags)]
+        fields = [f for f in toks.schema.fields if f.name in names]
+        schema = T.StructType([*fields, *(T.StructField(n, T.IntegerType() if n == "head_id" else T.StringType()) for n, _ in tags)])
+
+        def told(table: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+            words = table.column("text").to_pylist()
+            found = [t for s in _loaded(load)([words[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]) for t in s]
+            columns = [pa.array([t[k] for t in found], kind) for k, (_, kind) in enumerate(tags)]
+            for (name, _), column in zip(tags, columns, strict=True):
+                table = table.append_column(name, column)
+            yield from table.to_batches()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: pa.Table | None = None
+            for batch in batches:
+                now = pa.Table.from_batches([batch])
+                held = now if held is None else pa.concat_tables([held, now])
+                keys = list(zip(held.column("doc_id").to_pylist(), held.column("sent").to_pylist(), strict=True))
+                ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]  # the last sentence may go on
+                while len(ends) >= sentences:
+                    cut = ends[sentences - 1]
+                    yield from told(held.slice(0, cut), ends[:sentences])
+                    held, ends = held.slice(cut), [e - cut for e in ends[sentences:]]
+            if held is not None and held.num_rows:
+                keys = list(zip(held.column("doc_id").to_pylist(), held.column("sent").to_pylist(), strict=True))
+                yield from told(held, [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)])
+
+        return toks.select(*names).repartition("doc_id", "sent").sortWithinPartitions("doc_id", "sent", "tok").mapInArrow(run, schema)
+
+    return tagged

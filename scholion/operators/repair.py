@@ -13,8 +13,10 @@ from pyspark.sql import Window
 from scholion.functions.fold import fold, fold_text
 
 # Abbreviations that are no initials, and words after which a letter is one.
-NO_INITIALS = sorted({fold_text(w) for w in "γρ παρ σοῦμα".split()})
-ARTICLES = sorted({fold_text(w) for w in "ο του τον τω η της την οι των τους δια απο υπο κ κα κος κύριος κύριον κυρίου".split()})
+NO_INITIALS = sorted({fold_text(w) for w in ("γρ", "παρ", "σοῦμα")})
+ARTICLES = sorted(
+    {fold_text(w) for w in ("ο", "του", "τον", "τω", "η", "της", "την", "οι", "των", "τους", "δια", "απο", "υπο", "κ", "κα", "κος", "κύριος", "κύριον", "κυρίου")}
+)
 
 
 def _by(keys: list[str], order: str):

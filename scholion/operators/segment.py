@@ -8,20 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 TOKEN = r"(?Us)\s+|\w+|."
 #: Abbreviations whose period doesn't end a sentence.
-ABBREVIATIONS = (", υπ' υπ γ.ε.μη αφμ α.φ.μ. α.φ.μ λ γ ρ ν τ Κ Μ Η Τ,Κ κιν τηλ αρ παρ παρ. αυξ αύξ αύξ. αυξ. αρίθ αρθρ αρθ άρθ αριθ αριθ. αριθμ αριθμ. πρωτ α.ε κα").split()
+ABBREVIATIONS = [
+    ",", "υπ'", "υπ", "γ.ε.μη", "αφμ", "α.φ.μ.", "α.φ.μ", "λ", "γ", "ρ", "ν", "τ", "Κ", "Μ", "Η", "Τ,Κ", "κιν", "τηλ", "αρ", "παρ", "παρ.",
+    "αυξ", "αύξ", "αύξ.", "αυξ.", "αρίθ", "αρθρ", "αρθ", "άρθ", "αριθ", "αριθ.", "αριθμ", "αριθμ.", "πρωτ", "α.ε", "κα",
+]
 #: Ends of sentences where no model says more.
 STOPS = [".", "!", "?", ";", "·", "…"]
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tok, text, start, stop, blank): everything in the text, white space too."""
+    """(doc_id, tok, text, start, stop, blank): everything in the text, white space too.
+
+    Ids are taken to be unique: rows of one id would mix their tokens.
+    """
     # texts are dealt by document before they are cut, so that no window moves the many tokens
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
     cut = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("tok", "text"))
@@ -84,35 +91,38 @@ def sentence_table(toks: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "sent").agg(F.first(span["para"]).alias("para"), F.first(span["start"]).alias("start"), F.first(span["stop"]).alias("stop"), text.alias("text"))
 
 
-def subwords(text: str) -> int:
+def subwords(text: Column) -> Column:
     """A stand-in for a tokenizer: four letters are a piece."""
-    return -(-len(text) // 4)
+    return F.ceil(F.length(text) / 4).cast("int")
 
 
-def chunks(toks: DataFrame, measure: Callable[[str], int] = subwords, limit: int = 508, soft: int = 350, spare: int = 15) -> DataFrame:
-    """Adds ``chunk``: sentences of more than ``limit`` pieces are cut after ``, ; :`` beyond ``soft`` pieces, or before a token that would pass the limit less ``spare``."""
+def chunks(toks: DataFrame, measure: Callable[[Column], Column] = subwords, limit: int = 508, soft: int = 350, spare: int = 15) -> DataFrame:
+    """Adds ``chunk``: sentences of more than ``limit`` pieces are cut after ``, ; :`` beyond ``soft`` pieces, or before a token that would pass the limit less ``spare``.
+
+    ``measure`` gives a token's pieces, by functions of columns or an Arrow UDF.  Only
+    long sentences are read one token after the other; they stream past, sorted.
+    """
     names = toks.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in toks.schema.fields) + ", chunk int"
-
-    def numbered(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("tok")
-        sizes = [0 if b else measure(t) for t, b in zip(part["text"], part["blank"], strict=True)]
-        out, now, held = [], 0, 0
-        if sum(sizes) <= limit:
-            return part.assign(chunk=0)
-        for text, size in zip(part["text"], sizes, strict=True):
-            if held > soft and text in {",", ";", ":"}:
-                out.append(now)
-                now, held = now + 1, 0
-            elif held and held + size > limit - spare:
-                now, held = now + 1, size
-                out.append(now)
-            else:
+    sized = toks.withColumn("_n", F.when(F.col("blank"), 0).otherwise(measure(F.col("text"))).cast("bigint"))
+    sized = sized.withColumn("_all", F.sum("_n").over(Window.partitionBy("doc_id", "sent")))
+    short = sized.where(F.col("_all") <= limit).select(*names, F.lit(0).alias("chunk"))
+    long = sized.where(F.col("_all") > limit).drop("_all").repartition("doc_id", "sent").sortWithinPartitions("doc_id", "sent", "tok")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, held = None, 0, 0
+        for batch in batches:
+            out = []
+            for doc, sent, text, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sent", "text", "_n")), strict=True):
+                if (doc, sent) != key:
+                    key, now, held = (doc, sent), 0, 0
+                if held > soft and text in {",", ";", ":"}:
+                    out.append(now)
+                    now, held = now + 1, 0
+                    continue
+                if held and held + size > limit - spare:
+                    now, held = now + 1, 0
                 out.append(now)
                 held += size
-        return part.assign(chunk=out)
-
-    def run(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return numbered(parts)[[*names, "chunk"]].astype({"chunk": "int32"})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int32())], [*names, "chunk"])
 
-    return toks.groupBy("doc_id", "sent").applyInPandas(run, schema)
+    return short.unionByName(long.mapInArrow(numbered, T.StructType([*toks.schema.fields, T.StructField("chunk", T.IntegerType())])))

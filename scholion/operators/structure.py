@@ -33,28 +33,24 @@ def items(toks: DataFrame) -> DataFrame:
     out = out.withColumn("ent_id", F.when(F.col("_e"), F.sum(F.col("_s").cast("int")).over(doc).cast("int")))
     block = F.max(F.when(F.col("_s") | ~F.col("_e"), F.col("tok"))).over(sent.rowsBetween(*past))
     out = out.withColumn("id", F.when(F.col("_e"), block).otherwise(F.col("tok")))
-    # heads by a map of the sentence, which is short, instead of a join
-    whole = out.groupBy("doc_id", "sent").agg(
-        F.min("para").alias("para"), F.map_from_entries(F.collect_set(F.struct("tok", "id"))).alias("to"),
-        F.array_sort(F.collect_list(F.struct("id", "tok", "text", "ner", "pos", "dep", "head", "head_id", "ent_id"))).alias("w"),
-    )
-    each = whole.select("doc_id", "para", "sent", "to", F.inline("w"))
     label = F.when(F.length("ner") > 2, F.substring("ner", 3, 1000)).otherwise(F.col("ner"))
     label = F.when(label == "PERSON", "PER").otherwise(label)
-    one = each.groupBy("doc_id", "para", "sent", "id", "ent_id").agg(
+    one = out.groupBy("doc_id", "para", "sent", "id", "ent_id").agg(
         F.array_sort(F.collect_list(F.struct("tok", "text"))).alias("_w"), F.min_by(label, F.col("tok")).alias("ner"),
-        *(F.min_by(c, "tok").alias(c) for c in ("pos", "dep", "head", "head_id")), F.min_by("to", "tok").alias("to"),
+        *(F.min_by(c, "tok").alias(c) for c in ("pos", "dep", "head", "head_id")),
     )
+    to = out.select("doc_id", "sent", F.col("tok").alias("head_id"), F.col("id").alias("_to"))
     bare = lambda s, w: w["text"].isin(*MARKS) | F.col("ner").isin(*NUMERIC) & F.right(s, F.lit(1)).isin(*MARKS)
     text = F.aggregate(F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), F.col("_w")[0]["text"], lambda s, w: F.when(bare(s, w), F.concat(s, w["text"])).otherwise(F.concat(s, F.lit(" "), w["text"])))
-    return one.select("doc_id", "para", "sent", "id", F.col("ent_id").isNotNull().alias("is_ent"), "ent_id", text.alias("text"), "ner", "pos", "dep", "head", F.coalesce(F.element_at("to", F.col("head_id")), F.col("head_id")).alias("head_id"))
+    one = one.join(to, ["doc_id", "sent", "head_id"], "left")
+    return one.select("doc_id", "para", "sent", "id", F.col("ent_id").isNotNull().alias("is_ent"), "ent_id", text.alias("text"), "ner", "pos", "dep", "head", F.coalesce("_to", "head_id").alias("head_id"))
 
 
 def heads(toks: DataFrame) -> DataFrame:
     """Adds ``head``: the text of the token that ``head_id`` names, ROOT if there is none."""
-    whole = toks.groupBy("doc_id", "sent").agg(F.map_from_entries(F.collect_set(F.struct("tok", "text"))).alias("at"), F.collect_list(F.struct(*(c for c in toks.columns if c not in ("doc_id", "sent", "head")))).alias("w"))
-    each = whole.select("doc_id", "sent", "at", F.inline("w"))
-    return each.withColumn("head", F.coalesce(F.element_at("at", F.col("head_id")), F.lit("ROOT"))).drop("at")
+    at = toks.select("doc_id", "sent", F.col("tok").alias("head_id"), F.col("text").alias("_h"))
+    named = toks.join(at, ["doc_id", "sent", "head_id"], "left")
+    return named.select(*(c for c in toks.columns if c != "head"), F.coalesce("_h", F.lit("ROOT")).alias("head"))
 
 
 def local_heads(toks: DataFrame) -> DataFrame:
@@ -90,9 +86,8 @@ def addresses(its: DataFrame) -> DataFrame:
 
 def edges(its: DataFrame) -> DataFrame:
     """(doc_id, sent, id, head_id, dep, is_ent, head_is_ent): words and the other item in their sentence that is their head."""
-    whole = its.groupBy("doc_id", "sent").agg(F.map_from_entries(F.collect_set(F.struct("id", "is_ent"))).alias("at"), F.collect_list(F.struct("id", "head_id", "dep", "is_ent")).alias("w"))
-    each = whole.select("doc_id", "sent", "at", F.inline("w")).withColumn("head_is_ent", F.element_at("at", F.col("head_id")))
-    return each.where("head_is_ent is not null and id <> head_id").drop("at")
+    at = its.select("doc_id", "sent", F.col("id").alias("head_id"), F.col("is_ent").alias("head_is_ent"))
+    return its.where("id <> head_id").select("doc_id", "sent", "id", "head_id", "dep", "is_ent").join(at, ["doc_id", "sent", "head_id"]).select("doc_id", "sent", "id", "head_id", "dep", "is_ent", "head_is_ent")
 
 
 def mind_map(its: DataFrame, mode: str = "neighbours") -> DataFrame:

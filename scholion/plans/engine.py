@@ -53,12 +53,23 @@ def tagged_tokens(docs: DataFrame, tagger: Tagger = entities.rule_tags, cleaned:
     return repair.repair(toks)
 
 
-def analyse(docs: DataFrame, engine: str = "modern", tagger: Tagger = entities.rule_tags) -> Analysis:
-    """Documents (doc_id, text) to all tables; ``engine`` picks how mentions are read, ``modern`` or ``ancient``."""
-    text = docs.select("doc_id", C.currency(C.clean(F.col("text"))).alias("text"))
-    toks = structure.heads(tagged_tokens(text, tagger, cleaned=True))
+def analyse(docs: DataFrame, engine: str = "modern", tagger: Tagger = entities.rule_tags, store: str | None = None) -> Analysis:
+    """Documents (doc_id, text) to all tables; ``engine`` picks how mentions are read, ``modern`` or ``ancient``.
+
+    With ``store``, a folder all executors share, the tables are written there as they
+    are made, and each is computed once; without it they are lazy.
+    """
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if store is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{store}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{store}/{name}")
+
+    text = kept(docs.select("doc_id", C.currency(C.clean(F.col("text"))).alias("text")), "documents")
+    toks = kept(structure.heads(tagged_tokens(text, tagger, cleaned=True)), "tokens")
     found = entities.mentions_by_reading(toks) if engine == "modern" else entities.mentions_by_islands(toks)
-    sents = toks.groupBy("doc_id", "sent").agg(F.min("start").alias("_a"), F.max("stop").alias("_b"))
-    whole = sents.join(text, "doc_id").select("doc_id", "sent", F.substring("text", F.col("_a") + 1, F.col("_b") - F.col("_a")).alias("_t"))
-    found = found.join(whole, ["doc_id", "sent"]).withColumn("text", entities.trimmed(F.col("text"), F.col("label"), F.col("_t"), engine != "modern")).drop("_t")
-    return Analysis(text, toks, found, entities.without_overlaps(found), structure.items(toks))
+    sents = toks.groupBy("doc_id", "sent").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).join(text, "doc_id")
+    sents = sents.withColumn("text", F.substr("text", F.col("start") + 1, F.col("stop") - F.col("start")))
+    found = kept(entities.placed(found, sents, engine != "modern"), "mentions")
+    return Analysis(text, toks, found, kept(entities.without_overlaps(found), "spans"), kept(structure.items(toks), "items"))

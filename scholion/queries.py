@@ -169,10 +169,25 @@ def paragraph_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max("para").alias("last_para"), F.sum(F.col("para").cast("bigint") * (F.col("sent") + 1) % 1009).alias("mix"))
 
 
-@query()
+_CHUNKS = _TOKENS + """, sized AS (
+  SELECT doc_id, tok, text, stop - n AS start, stop, CASE WHEN blank THEN 0 ELSE (n + 3) // 4 END AS size FROM toks
+), walked AS (
+  SELECT doc_id, list_reduce(list({'t': text, 'size': size::BIGINT, 'i': tok::BIGINT, 'held': 0::BIGINT, 'cuts': []::BIGINT[]} ORDER BY tok),
+    lambda s, x: CASE
+      WHEN s.held > 350 AND x.t IN (',', ';', ':') THEN {'t': '', 'size': 0::BIGINT, 'i': 0::BIGINT, 'held': 0::BIGINT, 'cuts': list_append(s.cuts, x.i + 1)}
+      WHEN s.held > 0 AND s.held + x.size > 493 THEN {'t': '', 'size': 0::BIGINT, 'i': 0::BIGINT, 'held': x.size, 'cuts': list_append(s.cuts, x.i)}
+      ELSE {'t': '', 'size': 0::BIGINT, 'i': 0::BIGINT, 'held': s.held + x.size, 'cuts': s.cuts} END,
+    {'t': '', 'size': 0::BIGINT, 'i': 0::BIGINT, 'held': 0::BIGINT, 'cuts': []::BIGINT[]}).cuts AS cuts, sum(size) AS pieces
+  FROM sized GROUP BY doc_id
+)"""
+
+
+@query(f"""WITH {_CHUNKS}, one AS (
+  SELECT s.*, CASE WHEN pieces <= 508 THEN 0 ELSE len(list_filter(cuts, lambda c: c <= s.tok)) END::INT AS chunk FROM sized s JOIN walked USING (doc_id)
+) SELECT doc_id, chunk, count(*) AS n_tokens, min(start)::INT AS start, max(stop)::INT AS stop FROM one GROUP BY doc_id, chunk""")
 def long_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = segment.tokens(table(spark, sf_dir, "documents")).withColumn("sent", F.lit(0))
-    return segment.chunks(toks).groupBy("doc_id", "sent", "chunk").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return segment.chunks(toks).groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
 # --- tag repair ----------------------------------------------------------------------------
@@ -186,10 +201,16 @@ _LINKED = _TOKENS + r""", near AS (
 )"""
 
 
-@query(f"WITH {_LINKED} SELECT doc_id, tok::INT AS tok, text, p || '-CARDINAL' AS ner FROM part WHERE p IS NOT NULL")
+@query(f"""WITH {_LINKED}, tagged AS (
+  SELECT *, CASE WHEN tok % 7 = 0 THEN 'S-MONEY' WHEN tok % 3 = 0 THEN 'B-QUANTITY' ELSE 'O' END AS ner, sum((p = 'B')::INT) OVER (PARTITION BY doc_id ORDER BY tok ROWS UNBOUNDED PRECEDING) AS island FROM part
+), best AS (
+  SELECT doc_id, island, CASE WHEN bool_or(ner LIKE '%MONEY') THEN 'MONEY' WHEN bool_or(ner LIKE '%QUANTITY') THEN 'QUANTITY' ELSE 'CARDINAL' END AS label FROM tagged WHERE p IS NOT NULL GROUP BY doc_id, island
+) SELECT doc_id, tok::INT AS tok, text, CASE WHEN p IS NULL THEN ner ELSE p || '-' || label END AS ner FROM tagged LEFT JOIN best USING (doc_id, island)
+WHERE regexp_full_match(text, '[0-9]{{1,3}}|[.,]')""")
 def dotted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = segment.tokens(table(spark, sf_dir, "documents")).withColumn("ner", F.lit("O"))
-    return repair.merge_numbers(toks, ["doc_id"]).where("ner <> 'O'").select("doc_id", "tok", "text", "ner")
+    tag = F.when(F.col("tok") % 7 == 0, "S-MONEY").when(F.col("tok") % 3 == 0, "B-QUANTITY").otherwise("O")
+    toks = segment.tokens(table(spark, sf_dir, "documents")).withColumn("ner", tag)
+    return repair.merge_numbers(toks, ["doc_id"]).where(F.col("text").rlike("^([0-9]{1,3}|[.,])$")).select("doc_id", "tok", "text", "ner")
 
 
 def _pick(values: list[str], index) -> F.Column:
@@ -244,7 +265,7 @@ POS = ["NOUN", "PUNCT", "VERB", "ADJ"]
 DEPS = ["nsubj", "obj", "det", "root", "amod"]
 
 #: Tagged tokens from order lines: an order is a sentence, a customer's block of orders a document.
-_TAGGED = f"""t AS (
+_TAGGED = f"""t AS MATERIALIZED (
   SELECT l_orderkey // 16 AS doc_id, ((l_orderkey // 4) % 4)::INT AS para, l_orderkey AS sent, l_linenumber::INT AS tok,
     {_sql_list(TEXTS)}[(l_partkey % 10 + 1)::INT] AS text,
     CASE WHEN l_partkey % 5 = 0 THEN 'O' ELSE {_sql_list(PREFIXES)}[(l_partkey % 5 + 1)::INT] || {_sql_list(LABELS)}[(l_suppkey % 6 + 1)::INT] END AS ner,
@@ -264,7 +285,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_HEADS = _TAGGED + ", h AS (SELECT a.*, coalesce(b.text, 'ROOT') AS head FROM t a LEFT JOIN t b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.head_id = b.tok)"
+_HEADS = _TAGGED + "  , h AS MATERIALIZED (SELECT a.*, coalesce(b.text, 'ROOT') AS head FROM t a LEFT JOIN t b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.head_id = b.tok)"
 
 
 @query(f"WITH {_HEADS} SELECT sent, tok, head_id, head FROM h")
@@ -290,18 +311,63 @@ def mentions_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.mentions_by_islands(structure.heads(tagged(spark, sf_dir)))
 
 
-@query()
+_GLUE = "('.', ',', '/', '-', '\'\'')"
+_GROWN = _HEADS + f""", c AS MATERIALIZED (
+  SELECT *, ner = 'O' AS o, CASE WHEN contains(ner, '-') THEN left(ner, 1) ELSE 'S' END AS kind, regexp_replace(ner, '^[BIES]-', '') AS name FROM h
+), r AS (
+  SELECT doc_id, sent, 0 AS k, NULL::VARCHAR AS lab, NULL::VARCHAR AS txt, NULL::VARCHAR AS dep, NULL::VARCHAR AS head, NULL::INT AS start, NULL::INT AS stop, NULL::INT AS first,
+    []::STRUCT(label VARCHAR, "text" VARCHAR, dep VARCHAR, head VARCHAR, start INT, stop INT, "first" INT)[] AS done
+  FROM (SELECT DISTINCT doc_id, sent FROM c)
+  UNION ALL
+  SELECT doc_id, sent, tok, CASE act WHEN 'join' THEN grown WHEN 'new' THEN name END, CASE act WHEN 'join' THEN longer WHEN 'new' THEN text END,
+    CASE act WHEN 'join' THEN odep WHEN 'new' THEN dep END, CASE act WHEN 'join' THEN ohead WHEN 'new' THEN head END,
+    CASE act WHEN 'join' THEN ostart WHEN 'new' THEN start END, CASE WHEN act IN ('join', 'new') THEN stop END, CASE act WHEN 'join' THEN ofirst WHEN 'new' THEN tok END,
+    list_concat(
+      CASE WHEN act <> 'join' AND act <> 'last' AND lab IS NOT NULL THEN [{{'label': lab, 'text': txt, 'dep': odep, 'head': ohead, 'start': ostart, 'stop': ostop, 'first': ofirst}}] ELSE [] END,
+      CASE act WHEN 'single' THEN [{{'label': name, 'text': text, 'dep': dep, 'head': head, 'start': start, 'stop': stop, 'first': tok}}]
+        WHEN 'last' THEN [{{'label': lab, 'text': longer, 'dep': odep, 'head': ohead, 'start': ostart, 'stop': stop, 'first': ofirst}}] ELSE [] END)
+  FROM (
+    SELECT *, CASE WHEN lab IN ('CARDINAL', 'DATE') AND name IN ('MONEY', 'LAW') THEN name ELSE lab END AS grown,
+      txt || CASE WHEN CASE WHEN o THEN bare OR lab <> 'LAW' WHEN number THEN bare ELSE text IN {_GLUE} OR lab IN ('CARDINAL', 'MONEY', 'QUANTITY') AND right(txt, 1) IN {_GLUE} END THEN '' ELSE ' ' END || text AS longer,
+      CASE WHEN o THEN CASE WHEN connects THEN 'join' ELSE 'flush' END WHEN number THEN CASE WHEN goes_on THEN 'join' ELSE 'new' END
+        WHEN kind = 'S' THEN 'single' WHEN kind = 'B' THEN 'new' WHEN lab IS NULL THEN 'flush' WHEN kind = 'E' THEN 'last' ELSE 'join' END AS act
+    FROM (
+      SELECT c.*, r.lab, r.txt, r.dep AS odep, r.head AS ohead, r.start AS ostart, r.stop AS ostop, r.first AS ofirst, name IN ('DATE', 'LAW', 'MONEY', 'CARDINAL') AS number,
+        pos IN ('PUNCT', 'SYM') OR left(text, 1) IN {_GLUE} OR coalesce(right(txt, 1) IN {_GLUE}, false) AS bare,
+        coalesce(CASE lab WHEN 'DATE' THEN text IN ('/', '-', '.') WHEN 'MONEY' THEN regexp_full_match(text, '[0-9]+') OR text IN (',', '.', '€', '$', '£', '¥')
+          WHEN 'LAW' THEN regexp_full_match(text, '[0-9]+') OR lower(text) IN ('/', '-', '.', ',', '\'\'', 'ν', 'ν.', 'αρθρο', 'αρθρ.', '§', 'παρ', 'παρ.') END, false) AS connects,
+        coalesce(lab = name OR lab IN ('CARDINAL', 'MONEY') AND name IN ('CARDINAL', 'MONEY') OR lab = 'LAW' AND name IN ('DATE', 'CARDINAL') OR name = 'LAW' AND lab IN ('DATE', 'CARDINAL'), false) AS goes_on
+      FROM r JOIN c ON c.doc_id = r.doc_id AND c.sent = r.sent AND c.tok = r.k + 1
+    )
+  )
+)"""
+
+
+@query(f"""WITH RECURSIVE {_GROWN}, ends AS (SELECT doc_id, sent, max(tok) AS k FROM c GROUP BY doc_id, sent),
+every AS (
+  SELECT doc_id, sent, unnest(done) AS m FROM r
+  UNION ALL SELECT doc_id, sent, {{'label': lab, 'text': txt, 'dep': dep, 'head': head, 'start': start, 'stop': stop, 'first': first}} FROM r JOIN ends USING (doc_id, sent, k) WHERE lab IS NOT NULL
+) SELECT doc_id, sent, m.first AS first, m.label AS label, m.text AS text, m.dep AS dep, m.head AS head, m.start AS start, m.stop AS stop FROM every""")
 def mentions_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.mentions_by_reading(structure.heads(tagged(spark, sf_dir)))
 
 
-@query(r"""WITH m AS (SELECT o_orderkey, (o_orderkey % 3)::INT AS k, o_custkey AS c FROM orders)
-SELECT o_orderkey, CASE k WHEN 0 THEN c || ' ευρώ' WHEN 1 THEN c || '/' || c ELSE CASE WHEN c % 2 = 0 THEN 'άρθρο ' || c || ' του ν. ' || c ELSE 'ν. ' || c END END AS text FROM m""")
-def mention_trimming(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(r"""WITH m AS (SELECT o_orderkey, (o_orderkey % 3)::INT AS k, o_custkey::VARCHAR AS c FROM orders),
+s AS (SELECT *, CASE k WHEN 0 THEN 'δίνει ' || c || ' ευρώ ., σήμερα' WHEN 1 THEN 'ήταν ' || c || ' /' || c || ' έως χθες' ELSE 'κατά το άρθρο ' || c || ' του ν. ' || c || ') ισχύει' END AS text FROM m),
+w AS (SELECT *, CASE k WHEN 0 THEN c || ' ευρώ' WHEN 1 THEN c || ' /' || c ELSE 'άρθρο ' || c || ' του ν. ' || c END AS held FROM s)
+SELECT o_orderkey AS doc_id, (position(held IN text) - 1)::INT AS start, (position(held IN text) - 1 + length(held))::INT AS stop, held AS text FROM w""")
+def mention_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and texts of mentions that lose what hangs on, or take in what precedes them."""
     key, c = F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
-    text = F.when(key == 0, F.concat(F.lit(" "), c, F.lit(" ευρώ ., "))).when(key == 1, F.concat(F.lit("από /"), c, F.lit(" έως"))).otherwise(F.concat(F.lit("ν. "), c, F.lit(") .")))
-    said = F.concat(F.lit("ημέρα "), c, F.lit("/"), c, F.lit(" και "), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("άρθρο "), c, F.lit(" του "))).otherwise(F.lit("τον ")), F.lit("ν. "), c)
-    return table(spark, sf_dir, "orders").select("o_orderkey", entities.trimmed(text, _pick(["MONEY", "DATE", "LAW"], key), said).alias("text"))
+    said = lambda *x: F.concat(*(c if y is None else F.lit(y) for y in x))
+    parts = [("δίνει ", (None, " ευρώ .,"), " σήμερα"), (said("ήταν ", None, " "), ("/", None, " έως"), " χθες"), (said("κατά το άρθρο ", None, " του "), ("ν. ", None, ")"), " ισχύει")]
+    docs = table(spark, sf_dir, "orders")
+    before, inner, after = (F.lit(None).cast("string") for _ in range(3))
+    for k, (a, m, b) in enumerate(parts):
+        before, inner, after = F.when(key == k, F.lit(a) if isinstance(a, str) else a).otherwise(before), F.when(key == k, said(*m)).otherwise(inner), F.when(key == k, F.lit(b)).otherwise(after)
+    docs = docs.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("sent"), F.lit(0).alias("start"), F.concat(before, inner, after).alias("text"), F.length(before).alias("_a"), F.length(inner).alias("_n"), _pick(["MONEY", "DATE", "LAW"], key).alias("label"))
+    found = docs.select("doc_id", "sent", F.lit(1).alias("first"), "label", F.lit("").alias("text"), F.col("_a").alias("start"), (F.col("_a") + F.col("_n")).alias("stop"))
+    return entities.placed(found, docs).select("doc_id", "start", "stop", "text")
 
 
 _SPANS = f"s AS (SELECT l_orderkey // 16 AS doc_id, l_orderkey AS sent, l_linenumber::INT AS ord, (l_partkey % 70)::INT AS start, (l_partkey % 70 + l_suppkey % 25 + 1)::INT AS stop, {_sql_list(LABELS)}[(l_suppkey % 6 + 1)::INT] AS label FROM {_LINES})"
@@ -337,9 +403,9 @@ def overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKS = "('.', ',', '''')"
 _ITEMS = _HEADS + f""", a AS (SELECT *, ner <> 'O' AS e, lag(ner <> 'O') OVER (PARTITION BY doc_id, sent ORDER BY tok) AS pe FROM h),
 b AS (SELECT *, e AND (left(ner, 1) IN ('B', 'S') OR NOT coalesce(pe, false)) AS st FROM a),
-c AS (SELECT *, CASE WHEN e THEN sum(st::INT) OVER (PARTITION BY doc_id ORDER BY para, sent, tok ROWS UNBOUNDED PRECEDING)::INT END AS ent_id, max(CASE WHEN st OR NOT e THEN tok END) OVER (PARTITION BY doc_id, sent ORDER BY tok ROWS UNBOUNDED PRECEDING) AS id FROM b),
+c AS MATERIALIZED (SELECT *, CASE WHEN e THEN sum(st::INT) OVER (PARTITION BY doc_id ORDER BY para, sent, tok ROWS UNBOUNDED PRECEDING)::INT END AS ent_id, max(CASE WHEN st OR NOT e THEN tok END) OVER (PARTITION BY doc_id, sent ORDER BY tok ROWS UNBOUNDED PRECEDING) AS id FROM b),
 d AS (SELECT doc_id, para, sent, id, ent_id, list(text ORDER BY tok) AS w, CASE WHEN ent_id IS NULL THEN 'O' ELSE substr(arg_min(ner, tok), 3) END AS ner, arg_min(pos, tok) AS pos, arg_min(dep, tok) AS dep, arg_min(head, tok) AS head, arg_min(head_id, tok) AS hid FROM c GROUP BY doc_id, para, sent, id, ent_id),
-items AS (SELECT d.doc_id, d.para, d.sent, d.id, d.ent_id IS NOT NULL AS is_ent, d.ent_id, CASE WHEN ner IN ('CARDINAL', 'MONEY', 'QUANTITY')
+items AS MATERIALIZED (SELECT d.doc_id, d.para, d.sent, d.id, d.ent_id IS NOT NULL AS is_ent, d.ent_id, CASE WHEN ner IN ('CARDINAL', 'MONEY', 'QUANTITY')
   THEN list_reduce(w, lambda s, x: CASE WHEN x IN {_MARKS} OR right(s, 1) IN {_MARKS} THEN s || x ELSE s || ' ' || x END) ELSE list_reduce(w, lambda s, x: CASE WHEN x IN {_MARKS} THEN s || x ELSE s || ' ' || x END) END AS text,
   d.ner, d.pos, d.dep, d.head, coalesce(c2.id, d.hid)::INT AS head_id FROM d LEFT JOIN (SELECT doc_id, sent, tok, id FROM c) c2 ON c2.doc_id = d.doc_id AND c2.sent = d.sent AND c2.tok = d.hid)"""
 

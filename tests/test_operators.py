@@ -145,9 +145,9 @@ def test_sentences(spark):
 def test_chunks(spark):
     words = ["word", "x"] * 500
     toks = spark.createDataFrame([(0, 0, k, w if k % 100 else ",", False) for k, w in enumerate(words)], "doc_id int, sent int, tok int, text string, blank boolean")
-    out = segment.chunks(toks, measure=lambda t: 1).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.max_by("text", "tok").alias("last")).orderBy("chunk").collect()
+    out = segment.chunks(toks, measure=lambda t: F.lit(1)).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.max_by("text", "tok").alias("last")).orderBy("chunk").collect()
     assert [(r.n, r.last) for r in out] == [(401, ","), (400, ","), (199, "x")]
-    assert segment.chunks(toks.limit(400), measure=lambda t: 1).select("chunk").distinct().count() == 1
+    assert segment.chunks(toks.limit(400), measure=lambda t: F.lit(1)).select("chunk").distinct().count() == 1
 
 
 def docx(body):
@@ -201,7 +201,7 @@ def test_analysis(spark):
     names = spark.createDataFrame([("Καναρίου", "PER")], "text string, label string")
     a = analyse(docs, tagger=lambda t: entities.rule_tags(t, names))
     clean = a.documents.where("doc_id = 1").first().text
-    assert sorted((clean[m.start : m.stop], m.label) for m in a.spans.collect()) == [("1.500 €", "MONEY"), ("1821.", "DATE"), ("Γ. Καναρίου", "PER")]
+    assert sorted((clean[m.start : m.stop], m.label) for m in a.spans.collect()) == [("1.500 €", "MONEY"), ("1821", "DATE"), ("Γ. Καναρίου", "PER")]
     its = a.items.orderBy("ent_id").where("is_ent").collect()
     assert [(i.text, i.ner, i.ent_id) for i in its] == [("Γ. Καναρίου", "PER", 1), ("1.500", "MONEY", 2), ("1821", "DATE", 3)]
     index = {r.label: [(e.ent_id, e.text) for e in r.entities] for r in a.index.collect()}
@@ -227,3 +227,36 @@ def test_stream_equals_batch(spark, tmp_path):
     follow(read_stream(spark, str(tmp_path / "in")), lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(60)
     want = analyse(spark.createDataFrame(rows, "doc_id long, text string")).items.collect()
     assert sorted(map(str, seen)) == sorted(map(str, want)) and seen
+
+
+def test_spans_move_with_what_is_trimmed(spark):
+    said = "Στις 12 έως χθες, 5 /3 και κατά το άρθρο 7 του ν. 45) δίνει 30 ευρώ ., ναι"
+    rows = [("DATE", "Στις 12 έως"), ("DATE", "/3"), ("LAW", "ν. 45)"), ("MONEY", "30 ευρώ .,"), ("PER", "ναι")]
+    found = spark.createDataFrame([(1, 0, k, label, "", said.index(m) + 100, said.index(m) + len(m) + 100) for k, (label, m) in enumerate(rows)], "doc_id int, sent int, first int, label string, text string, start int, stop int")
+    sents = spark.createDataFrame([(1, 0, 100, said)], "doc_id int, sent int, start int, text string")
+    got = entities.placed(found, sents).orderBy("first").collect()
+    assert [r.text for r in got] == ["12", "5 /3", "άρθρο 7 του ν. 45", "30 ευρώ", "ναι"]
+    assert all(said[r.start - 100 : r.stop - 100] == r.text for r in got)
+
+
+def test_a_sentence_of_many_tokens(spark):
+    """Work on a sentence grows with its tokens, not with their square."""
+    toks = spark.range(50_000).selectExpr("1 AS doc_id", "0 AS para", "0 AS sent", "cast(id + 1 AS int) AS tok", "concat('w', id) AS text", "IF(id % 9 = 0, 'S-PER', 'O') AS ner", "'X' AS pos", "'dep' AS dep", "cast((id * 7) % 50000 AS int) AS head_id")
+    its = structure.items(structure.heads(toks))
+    assert its.count() == 50_000 and structure.edges(its).count() > 40_000
+
+
+def test_batch_tagger(spark):
+    def capitals():
+        return lambda sents: [[("S-PER" if w[:1].isupper() else "O", "X", "root" if k == 0 else "dep", min(k, 1)) for k, w in enumerate(s)] for s in sents]
+
+    toks = spark.createDataFrame([(d, s, k, w) for d in range(3) for s in range(70) for k, w in enumerate(["Άννα", "είδε", f"Γ{s}"])], "doc_id int, sent int, tok int, text string")
+    got = entities.batch_tagger(capitals, 16)(toks.repartition(3)).collect()
+    assert len(got) == 630 and all((r.ner == "S-PER") == (r.tok != 1) and r.head_id == min(r.tok, 1) for r in got)
+
+
+def test_stored_analysis(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Το 1821 πλήρωσε 1.500€.")], "doc_id long, text string")
+    a, b = analyse(docs), analyse(docs, store=str(tmp_path / "a"))
+    assert sorted(map(str, a.items.collect())) == sorted(map(str, b.items.collect()))
+    assert sorted(map(str, a.html.collect())) == sorted(map(str, b.html.collect()))
