@@ -1,6 +1,6 @@
 """Largest inner products by robust-pruned directed graphs, one for each shard.
 
-Distinct vectors are dealt into shards of bounded size.  In a shard, greedy beam
+Distinct vectors are dealt into shards of bounded size, larger ones the more there are.  In a shard, greedy beam
 searches propose neighbours and relaxed distance pruning keeps edges in diverse
 directions; nodes that cannot be reached get an edge.  Every block of queries
 meets every shard, walks its graph from the medoid and returns the nearest
@@ -20,7 +20,9 @@ from pyspark.sql import Window
 
 from scholion.llm.common import materialize
 
-SHARD = 4096
+#: Vectors of a shard: as many as make ``SHARDS`` shards, but no fewer and no more than these; every query meets every shard.
+SHARD, MOST = 4096, 65536
+SHARDS = 64
 QUERIES = 4096
 DEGREE = 32
 BEAM = 48
@@ -188,7 +190,8 @@ def _searched(k: int):
                 for name, near, vector in zip(queries["query_id"].iloc[i : i + SIDE], found, q.astype(np.float64), strict=True):
                     near = near[near >= 0]
                     score = exact[near] @ vector
-                    best = np.argsort(-score, kind="stable")[: k + 1]
+                    last = np.sort(score)[::-1][min(k, len(score) - 1)] if len(score) else 0.0
+                    best = np.flatnonzero(score >= last)  # all that tie with the last go on, so that ids decide
                     rows = [(-s, v) for s, at in zip(score[best], near[best], strict=True) for v in r["ids"][at] if v != name]
                     out += [(name, v, -s) for s, v in sorted(rows)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
@@ -216,8 +219,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     few = clean(rows).withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k + 1)
     few = few.groupBy("dim", "vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     few = materialize(few, "vectors")
-    shards = max(1, -(-few.count() // SHARD))
-    dealt = few.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
+    count = few.count()
+    shards = max(1, -(-count // min(MOST, max(SHARD, -(-count // SHARDS)))))
+    dealt = few.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).repartition(shards, "dim", "shard")
     index = dealt.groupBy("dim", "shard").applyInPandas(_indexed, "dim int, shard int, start int, width int, vectors binary, longer binary, graph binary, ids array<array<bigint>>")
     index = materialize(index, "graphs")
     asked = materialize(clean(queries).dropDuplicates(["id", "vector"]), "queries")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,17 +20,27 @@ pa.set_memory_pool(pa.system_memory_pool())
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _private(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="scholion-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a private one only where none is set."""
+    """A folder of this application in the shared one that the cluster names.
+
+    Where none is named, a machine's own folder does only if all of Spark runs on
+    that machine.
+    """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="scholion-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        root = _private(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/scholion-{spark.sparkContext.applicationId}"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches for Python of 8 MB at most, where the session has Spark's own 64 MB: several copies of one are alive at a time."""
+    """For queries and stages, not operators: batches for Python of 8 MB at most, where the session has Spark's own 64 MB, as several copies of one are alive at a time."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, "8m")
@@ -41,14 +53,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     the stages before, and what is read twice is computed once.
     """
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application; no result may be read after it."""
+    """Delete the scratch tables of this application, which operators leave for their results to read; none of these may be read after it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -70,7 +81,6 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if batch.num_rows and (out := rows(batch)) is not None:
                 yield out
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

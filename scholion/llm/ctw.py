@@ -378,16 +378,17 @@ def _scored(shared):
                         col.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
                 part = batch.select([0, 1]).slice(row[0], len(row))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(score(form))], ["doc_id", "held_out", "n_tokens", "n_known", "base", "words", "times", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(score(form)), pa.array([len(f) for f in form], pa.int64())], ["doc_id", "held_out", "n_tokens", "n_known", "base", "words", "times", "score", "size"])
 
     return run
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, nodes: int = NODES, often: int = WORDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
     Learns from the rows where ``held_out`` isn't true.  Scores are log10
-    probabilities of the whole text, end included.  A null or wordless text is
+    probabilities of the whole text, end included; ``bits_per_byte`` is the code length
+    per byte of its normal form.  A null or wordless text is
     its end alone.  With nothing to learn from, words have the base
     probability 1 and each byte 1/256.  Repeated rows repeat, in training too.
     Only the id and text columns and those of ``held_out`` are read.
@@ -409,7 +410,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     top = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast((model, top, unit, end))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = source.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, words array<binary>, times array<bigint>, score double")
+    found = source.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, words array<binary>, times array<bigint>, score double, size bigint")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = found.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     rare = rare.join(words.where(_step(F.col("n")) < least), "word", "left")
@@ -423,4 +424,5 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
         "score",
+        (-F.col("score") * F.lit(math.log2(10)) / F.col("size")).alias("bits_per_byte"),
     )

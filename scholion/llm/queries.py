@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.llm.ann import nearest
-from scholion.llm.common import id_remainder, table
+from scholion.llm.common import id_remainder, small_batches
+from scholion.llm.common import table as read_table
 from scholion.llm.ctw import score_texts
 from scholion.llm.decontam import contaminated, contamination
 from scholion.llm.html import extract_text
@@ -20,6 +21,11 @@ from scholion.llm.rindex import long_repeats
 from scholion.llm.simhash import simhash_groups
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

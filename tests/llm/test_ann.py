@@ -74,3 +74,18 @@ def test_every_node_is_reached():
         front = [int(j) for i in front for j in graph[i] if j >= 0 and j not in seen]
         seen.update(front)
     assert len(seen) == len(x)
+
+
+def test_ties_of_different_vectors(spark):
+    """Small integers: many scores are equal, and the smaller ids are the answer."""
+    r = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in r.integers(-1, 2, 6)]) for i in r.permutation(250)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for x in nearest(df, df.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    for q, v in rows:
+        if q % 20 == 0:
+            want = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:20]
+            assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
