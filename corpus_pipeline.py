@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import materialize, table
+from scholion.llm.common import materialize, small_batches, table
 from scholion.llm.decontam import contaminated, contamination
 from scholion.llm.langid import fit, identify
 from scholion.llm.lines import dedup_lines
@@ -25,29 +25,34 @@ def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter or far from any language go."""
+    small_batches(spark)
     found = identify(docs, fit(docs), extra=_carried(docs))
     return _back(found.where("not rejected"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines leave the texts; ``n_chars`` follows."""
+    small_batches(spark)
     found = dedup_lines(docs).select(*docs.columns)
     return found.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else found
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; a few hit words don't make one."""
+    small_batches(spark)
     found = contamination(docs, table(spark, sf_dir, "benchmark"), extra=_carried(docs))
     return _back(found.where(~contaminated()), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its sequence and place."""
+    small_batches(spark)
     return pack(docs, tokenizer_path())
 
 
