@@ -201,7 +201,8 @@ BAND_BITS = 32
 FAR = 86
 #: Turns in which hubs link what is left of a group before all its pairs in different components are compared.
 HUB_TURNS = 2
-#: Pairs of texts of two values that one block compares.
+#: Pairs of texts of two values from which hubs are worth it, and that one block compares.
+HUB_PAIRS = 1 << 12
 PAIRS_AT_ONCE = 1 << 20
 
 
@@ -231,40 +232,56 @@ def _apart(fa: str, fb: str) -> Column:
     return sum((F.bit_count(F.col(fa)[k].bitwiseXOR(F.col(fb)[k])) for k in range(-(-BANDS * BAND_BITS // 64))), F.lit(0))
 
 
-def _linked(source: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of ``pairs`` (a, b) of keys, those whose shingle sets are alike."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(prints.select(F.col("key").alias("a"), F.col("fp").alias("fa")).hint("merge"), "a").join(prints.select(F.col("key").alias("b"), F.col("fp").alias("fb")).hint("merge"), "b")
-    pairs = materialize(pairs.where(_apart("fa", "fb") <= FAR).select("a", "b"), "candidates")
-    # small sides are written before a join with texts, so that the copies of a text can be split there
-    met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "met")
+def _sets_of(source: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(key, shingles) of the texts of ``keys``, which are written before the join, so that the copies of a text can be split there."""
+    met = materialize(keys.select("key").distinct(), "met")
     sets = map_arrow(source.select("key", as_bytes("text").alias("text")).join(met.hint("merge"), "key", "left_semi"), _shingle_sets(words), "key binary, shingles binary")
-    sets = materialize(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+    return materialize(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
+def _linked(source: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b) of keys, those whose shingle sets are alike."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.distinct(), "candidates")
+    sets = _sets_of(source, pairs.select(F.explode(F.array("a", "b")).alias("key")), words)
     pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
     return materialize(map_arrow(pairs.select("a", "b", "sa", "sb"), _similar(similarity), "a binary, b binary"), "alike")
 
 
+def _numbers(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Shingle sets as arrays, for functions of columns."""
+    sets = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["key", "shingles"])
+
+
+def _alike(a: str, b: str, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both)
+
+
 def _unsettled(members: DataFrame, open_: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``members`` with their root so far, and the pairs of values whose texts have several; None if there are none."""
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
     placed = materialize(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
-    each = placed.groupBy("tab", "fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-    left = open_.join(each.select("tab", F.col("fp").alias("u"), F.col("lo").alias("lu"), F.col("hi").alias("hu"), F.col("n").alias("nu")), ["tab", "u"])
-    left = left.join(each.select("tab", F.col("fp").alias("v"), F.col("lo").alias("lv"), F.col("hi").alias("hv"), F.col("n").alias("nv")), ["tab", "v"])
-    cuts = F.ceil(F.col("nu") * F.col("nv") / PAIRS_AT_ONCE).cast("bigint").alias("cuts")
-    left = materialize(left.where(F.least("lu", "lv") != F.greatest("hu", "hv")).select("tab", "u", "v", cuts), "left")
+    each = placed.groupBy("tab", "fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("key").alias("k"))
+    left = open_.join(each.select("tab", *(F.col(x).alias(y) for x, y in (("fp", "u"), ("lo", "lu"), ("hi", "hu"), ("n", "nu"), ("k", "ku")))), ["tab", "u"])
+    left = left.join(each.select("tab", *(F.col(x).alias(y) for x, y in (("fp", "v"), ("lo", "lv"), ("hi", "hv"), ("n", "nv"), ("k", "kv")))), ["tab", "v"])
+    left = left.where(F.least("lu", "lv") != F.greatest("hu", "hv")).select("tab", "u", "v", "ku", "kv", (F.col("nu") * F.col("nv")).alias("pairs"))
+    left = materialize(left, "left")
     return placed, None if left.isEmpty() else left
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hub_pairs: int = HUB_PAIRS, pairs_at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """``docs`` with one document of each group of near copies.
 
     Texts are linked if their sets of ``words``-word shingles have a Jaccard
     similarity of ``similarity`` or more.  Candidates agree but for two bits in one of
     ``BANDS`` bands of a long fingerprint, found as in ``simhash_groups``; the sets
     decide.  Every candidate pair is compared unless its texts are linked already:
-    texts of equal bands come first, then near bands, hubs, and all pairs in different components.  Of each group the row of the smallest id stays, of ties the
-    smallest text hash, and one of rows equal in id and text.  Null texts are
+    texts of equal bands come first, then the first texts of near bands, then what is
+    left between different components; ``hub_pairs`` and ``pairs_at_once`` only
+    choose the order and size of that.  Of each group the row of the smallest id
+    stays, of ties the smallest text hash, and one of rows equal in id and text.  Null texts are
     empty texts; texts without words, or with fewer than a shingle, are near
     copies of those with the same words only.  All columns pass through.
     """
@@ -277,8 +294,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     band = F.array(*(F.shiftrightunsigned(F.col("fp")[k * BAND_BITS // 64], k * BAND_BITS % 64).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for k in range(BANDS)))
     banded = prints.select("key", F.posexplode(band).alias("tab", "fp"))
     least = banded.groupBy("tab", "fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = banded.join(materialize(least.select("tab", "fp", F.col("key").alias("b")), "bands").hint("merge"), ["tab", "fp"]).select(F.col("key").alias("a"), "b")
-    edges = _linked(source, prints, same, words, similarity)
+    same = banded.join(materialize(least.select("tab", "fp", F.col("key").alias("b")), "bands").hint("merge"), ["tab", "fp"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    for k in "ab":
+        same = same.join(prints.select(F.col("key").alias(k), F.col("fp").alias(f"f{k}")).hint("merge"), k)
+    edges = _linked(source, same.where(_apart("fa", "fb") <= FAR), words, similarity)
     # what equal values have connected needs no pairs of near values
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
     rooted = prints.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.posexplode(band).alias("tab", "fp"))
@@ -286,36 +305,44 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = materialize(least.withColumn("root", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.xxhash64("tab", "fp"))).drop("lo", "hi"), "bands")
     # with 32 bits a fingerprint has 33 neighbours at most, so that all pairs of values are here and no stars
     values = materialize(links(least, BAND_BITS, every=True).select("tab", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "values")
-    near = values.join(least.select("tab", F.col("fp").alias("u"), F.col("key").alias("a")), ["tab", "u"]).join(least.select("tab", F.col("fp").alias("v"), F.col("key").alias("b")), ["tab", "v"]).select("a", "b")
-    edges = edges.unionByName(_linked(source, prints, near, words, similarity))
+    ends = values.select("tab", F.col("u").alias("fp")).unionByName(values.select("tab", F.col("v").alias("fp"))).distinct()
+    ends = materialize(ends.join(least, ["tab", "fp"]).select("tab", F.col("fp").alias("value"), "key").join(prints, "key"), "ends")
+    near = values.join(ends.select("tab", F.col("value").alias("u"), F.col("key").alias("a"), F.col("fp").alias("fa")), ["tab", "u"])
+    near = near.join(ends.select("tab", F.col("value").alias("v"), F.col("key").alias("b"), F.col("fp").alias("fb")), ["tab", "v"])
+    edges = edges.unionByName(_linked(source, near.where(_apart("fa", "fb") <= FAR), words, similarity))
     # what has met the first of a value only: texts of values that hold several, by pairs of values
     several = least.where("n > 1").select("tab", "fp")
     open_ = values.join(several.select("tab", F.col("fp").alias("u")), ["tab", "u"], "left_semi").unionByName(values.join(several.select("tab", F.col("fp").alias("v")), ["tab", "v"], "left_semi").select("tab", "u", "v")).distinct()
     open_ = materialize(open_.unionByName(several.select("tab", F.col("fp").alias("u"), F.col("fp").alias("v"))), "open")
     ends = open_.select("tab", F.col("u").alias("fp")).unionByName(open_.select("tab", F.col("v").alias("fp"))).distinct()
     members = materialize(banded.join(ends, ["tab", "fp"]).join(prints.select("key", F.col("fp").alias("long")), "key"), "members")
+    placed, left = _unsettled(members, open_, edges)
     for turn in range(HUB_TURNS):
-        placed, left = _unsettled(members, open_, edges)
-        if not left:
+        many = left.where(F.col("pairs") >= hub_pairs) if left else None
+        if many is None or many.isEmpty():
             break
-        # a member of the component with the most texts of a value, and one of the fewest, meet all others there
+        # where values hold many texts, one of the component with the most there, and of the one with the fewest, meet all others
         own = placed.groupBy("tab", "fp", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("key", "long"), F.xxhash64("key", F.lit(turn))).alias("hub"))
         by = F.struct("n", F.xxhash64("root", F.lit(turn)))
         hubs = own.groupBy("tab", "fp").agg(F.array_distinct(F.array(F.max_by(F.struct("root", "hub"), by), F.min_by(F.struct("root", "hub"), by))).alias("hubs"))
         hubs = hubs.select("tab", F.col("fp").alias("v"), F.explode("hubs").alias("h")).select("tab", "v", F.col("h.hub.key").alias("b"), F.col("h.hub.long").alias("fb"), F.col("h.root").alias("rb"))
-        both = left.select("tab", "u", "v").unionByName(left.where("u <> v").select("tab", F.col("v").alias("u"), F.col("u").alias("v")))
+        both = many.select("tab", "u", "v").unionByName(many.where("u <> v").select("tab", F.col("v").alias("u"), F.col("u").alias("v")))
         met = both.join(hubs, ["tab", "v"]).join(placed.select("tab", F.col("fp").alias("u"), F.col("key").alias("a"), F.col("long").alias("fa"), F.col("root").alias("ra")), ["tab", "u"])
-        edges = edges.unionByName(_linked(source, prints, met.where(F.col("ra") != F.col("rb")).where(_apart("fa", "fb") <= FAR).select("a", "b"), words, similarity))
-    else:
+        edges = edges.unionByName(_linked(source, met.where(F.col("ra") != F.col("rb")).where(_apart("fa", "fb") <= FAR), words, similarity))
         placed, left = _unsettled(members, open_, edges)
-    if left:  # each text of one value with each of the other, in blocks of a bounded number of pairs
-        x = placed.select("tab", F.col("fp").alias("u"), F.col("key").alias("a"), F.col("long").alias("fa"), F.col("root").alias("ra"))
-        y = placed.select("tab", F.col("fp").alias("v"), F.col("key").alias("b"), F.col("long").alias("fb"), F.col("root").alias("rb"))
-        x = left.select("tab", "u", "v", "cuts").join(x, ["tab", "u"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("cuts")))
-        y = left.select("tab", "u", "v", "cuts").join(y, ["tab", "v"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1))).drop("cuts")
-        on = (F.col("ra") != F.col("rb")) & ((F.col("u") != F.col("v")) | (F.col("a") < F.col("b"))) & (_apart("fa", "fb") <= FAR)
-        met = x.drop("cuts").hint("merge").join(y, ["tab", "u", "v", "salt"]).where(on).select("a", "b")
-        edges = edges.unionByName(_linked(source, prints, met, words, similarity))
+    if left:  # each text of one value with each of the other, but for the first ones, which have met; in blocks of a bounded number of pairs
+        left = left.withColumn("cuts", F.ceil(F.col("pairs") / pairs_at_once).cast("bigint"))
+        values = left.select("tab", F.col("u").alias("fp")).unionByName(left.select("tab", F.col("v").alias("fp"))).distinct()
+        placed = placed.join(values, ["tab", "fp"])
+        sets = map_arrow(_sets_of(source, placed, words), _numbers, "key binary, shingles array<int>")
+        placed = materialize(placed.join(sets, "key"), "unsettled")
+        side = lambda fp, key, n: placed.select("tab", F.col("fp").alias(fp), F.col("key").alias(key), *(F.col(c).alias(f"{x}{n}") for c, x in (("long", "f"), ("root", "r"), ("shingles", "s"))))
+        x = left.select("tab", "u", "v", "cuts", "ku", "kv").join(side("u", "a", "a"), ["tab", "u"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("cuts")))
+        y = left.select("tab", "u", "v", "cuts").join(side("v", "b", "b"), ["tab", "v"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1))).drop("cuts")
+        new = F.when(F.col("u") == F.col("v"), (F.col("a") < F.col("b")) & (F.col("a") != F.col("ku"))).otherwise((F.col("a") != F.col("ku")) | (F.col("b") != F.col("kv")))
+        # the sets are compared as the pairs are made, so that only pairs that are alike leave the join
+        met = x.drop("cuts").hint("merge").join(y, ["tab", "u", "v", "salt"]).where(new & (F.col("ra") != F.col("rb")) & (_apart("fa", "fb") <= FAR) & _alike("sa", "sb", similarity))
+        edges = edges.unionByName(materialize(met.select("a", "b").distinct(), "alike"))
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
     ids = source.groupBy("key").agg(F.min("id").alias("least"))
     ids = ids.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))

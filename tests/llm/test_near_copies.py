@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from scholion.llm import simhash
 from scholion.llm.simhash import drop_near_copies
@@ -40,9 +41,9 @@ def test_one_of_each_group_stays(spark):
     assert drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_hundreds_of_edits_of_one_text(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [{}, {"hub_pairs": 1, "pairs_at_once": 256}])
+def test_hundreds_of_edits_of_one_text(spark, limits):
     """Edits are near the original and not each other, so that any other hub links none of them."""
-    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 256)
     r = random.Random(11)
     base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
     texts = [base]
@@ -68,7 +69,7 @@ def test_hundreds_of_edits_of_one_text(spark, monkeypatch):
                 root[find(i)] = find(j)
     want = len({find(i) for i in range(len(texts))})
     df = spark.createDataFrame([(i, " ".join(t), "x", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    assert drop_near_copies(df).count() == want
+    assert drop_near_copies(df, **limits).count() == want
 
 
 def test_repeats_do_not_hide_near_copies(spark):
