@@ -20,7 +20,7 @@ from scholion.llm.common import as_bytes, map_arrow
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math meta link base area map param source track col colgroup".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas annotation annotation-xml desc metadata meta link base area map param source track col colgroup".split())
 #: Blocks, and the blank lines around each.
 BLOCK = {
     **dict.fromkeys("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main nav option optgroup search section summary tr tbody thead tfoot td th caption".split(), 0),
@@ -123,38 +123,55 @@ class Text:
 
 
 class Table:
+    """Rows of cells, each with its column: cells of rows above may reach down into a row."""
+
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[int, list[str], int]]] = []
         self.caption: list[str] = []
+        self.held: dict[int, int] = {}  # columns that are taken, for so many rows, this one counted
+        self.at = 0
+
+    def row(self) -> None:
+        self.held = {c: n - 1 for c, n in self.held.items() if n > 1}
+        self.rows.append([])
+        self.at = 0
 
-    def cell(self, lines: list[str], span: int) -> None:
+    def cell(self, lines: list[str], span: int, deep: int) -> None:
         if not self.rows:
-            self.rows.append([])
-        self.rows[-1].append((lines, span))
+            self.row()
+        while self.at in self.held:
+            self.at += 1
+        self.rows[-1].append((self.at, lines, span))
+        if deep > 1:
+            self.held.update(dict.fromkeys(range(self.at, self.at + span), deep))
+        self.at += span
 
     def laid(self) -> list[str]:
         """Columns as wide as their widest cell of one column; a wider cell that spans several may stick out."""
         width: Counter = Counter()
-        for row in self.rows:
-            at = 0
-            for lines, span in row:
-                if span == 1:
-                    width[at] = max(width[at], max(map(len, lines), default=0))
-                at += span
+        for at, lines, span in (cell for row in self.rows for cell in row):
+            if span == 1:
+                width[at] = max(width[at], max(map(len, lines), default=0))
         out = list(self.caption)
         for row in self.rows:
-            for k in range(max((len(lines) for lines, _ in row), default=0)):
-                line, at, want = "", 0, 0
-                for lines, span in row:
+            for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+                line, want, done = "", 0, 0
+                for at, lines, _ in row:
+                    want += sum(width[c] + 2 for c in range(done, at))
+                    done = at
                     if k < len(lines) and lines[k]:
                         line = line.ljust(want) if len(line) <= want else line + "  "
                         line += lines[k]
-                    want += sum(width[c] + 2 for c in range(at, at + span))
-                    at += span
                 out.append(line.rstrip(" "))
         return out
 
 
+def _number(attributes: dict[str, str], name: str) -> int:
+    """Columns or rows of a cell; a rowspan of 0 reaches to the end."""
+    said = attributes.get(name, "1").strip()
+    return int(said) if said.isdecimal() and len(said) < 6 else 1
+
+
 class Renderer:
     def __init__(self) -> None:
         self.open: list[tuple[str, bool]] = []  # name, and whether it hides
@@ -162,7 +179,7 @@ class Renderer:
         self.unseen = 0
         self.texts = [Text()]
         self.tables: list[Table] = []
-        self.spans: list[int] = []
+        self.spans: list[tuple[int, int]] = []
         self.lists: list[list] = []  # kind, next number
 
     def _push(self, name: str, hides: bool) -> None:
@@ -176,7 +193,7 @@ class Renderer:
             text.block(BLOCK[name])
             self.tables.append(Table())
         elif name == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
         elif name in ("td", "th", "caption") and self.tables:
             self.texts.append(Text())
         elif name in BLOCK:
@@ -206,7 +223,7 @@ class Renderer:
             if name == "caption":
                 self.tables[-1].caption += lines
             else:
-                self.tables[-1].cell(lines, self.spans.pop())
+                self.tables[-1].cell(lines, *self.spans.pop())
         elif name in BLOCK and not (name == "tr" and self.tables):
             text = self.texts[-1]
             text.block(0 if name in ("ul", "ol") and len(self.lists) > 1 else BLOCK[name])
@@ -256,8 +273,7 @@ class Renderer:
             return
         hides = self._hides(name, attributes)
         if name in ("td", "th") and not hides and not self.unseen and self.tables:
-            span = attributes.get("colspan", "1").strip()
-            self.spans.append(max(1, min(1000, int(span))) if span.isdecimal() and len(span) < 5 else 1)
+            self.spans.append((max(1, min(1000, _number(attributes, "colspan"))), _number(attributes, "rowspan") or 65534))
         self._push(name, hides)
 
     def _inside(self, name: str) -> bool:

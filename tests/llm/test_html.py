@@ -69,3 +69,14 @@ def test_rows(spark):
     got = sorted((tuple(r) for r in extract_text(df).collect()), key=str)
     assert got == [(1, "a"), (1, "a"), (3, ""), (None, "")]
     assert extract_text(df.limit(0)).collect() == []
+
+
+def test_cells_that_reach_down():
+    page = "<table><tr><td rowspan=2>a<td>b<td rowspan=3>c<tr><td>d<tr><td>e<td>f<tr><td>g<td>h<td>i</table>"
+    assert render(page).split("\n") == ["a  b  c", "   d", "e  f", "g  h  i"]
+    assert render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>").split("\n") == ["a  b", "   c", "   d"]
+
+
+def test_formulas_and_drawings_are_seen():
+    assert render("x <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> y") == "x a+b y"
+    assert render("<svg><title>t</title><desc>d</desc><text>label</text></svg>") == "label"
