@@ -5,14 +5,17 @@ eight binary decisions; each decision has a tree of contexts, the up to ``DEPTH`
 bytes before, with Krichevsky-Trofimov estimates mixed over all depths by the
 weights that the training data give them.
 
-All training bytes are counted, as grams of a context and its next byte.
-Contexts that end alike are weighted together where they are gathered, so no
-task holds more than the contexts under three bytes.  The model that is broadcast
-keeps the nodes seen most, ``NODES`` at most; below the last one that is kept its
-estimate stands, so probabilities still sum to one.
-
-The base score is that of single words.  The words seen most, ``WORDS`` at most,
-are scored where the text is; the others meet their counts in an equi-join.
+All bytes are counted, as grams of a context and its next byte.  Contexts that end
+alike are weighted together where they are gathered, so no task holds more than
+the contexts under three bytes, and the grams that lie there are scored on the
+spot, from the deepest context up.  No node is left out: the tree is never in one
+place, and only its nodes of contexts under ``GATHERED`` bytes, 255 for each of
+those contexts however large the corpus, are sent to all tasks.
+
+Texts are scored by their grams.  The grams seen most, ``CACHED`` at most, are known
+to each task; the others meet their scores in an equi-join, so the border between
+the two changes no score.  The base score is that of single words, and words are
+held and joined in the same way, by ``WORDS``.
 """
 
 from __future__ import annotations
@@ -30,20 +33,19 @@ from pyspark.sql import functions as F
 from scholion.llm.common import as_bytes, map_arrow, materialize, splitmix
 
 DEPTH = 5
-NODES = 1 << 20
 #: Contexts that end in the same so many bytes are weighted in one task.
 GATHERED = 3
-#: Contexts of up to so many bytes are looked up once for all grams that end alike.
-SHORT = 3
+#: Grams and words whose scores and counts every task knows, and the longest of these words in bytes.
+CACHED = 1 << 21
 WORDS = 1 << 18
+WORD_BYTES = 64
 END = b"\n"
 #: Bytes whose grams are counted at once.
 BLOCK = 1 << 20
-#: Distinct words, or grams, that a task holds before it passes them on, and rows of a batch that it makes.
+#: Distinct words, or grams, that a task holds before it passes them on, bytes of text from which it passes on words, and rows of a batch that it makes.
 HELD = 1 << 19
+HELD_BYTES = 1 << 27
 ROWS = 1 << 16
-#: Grams whose probabilities a task remembers.
-CACHE = 1 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -79,40 +81,52 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[list[int], list
 
 
 def _gathered(depth: int):
-    """Texts to (word, gram, n): words and grams, counted as far as a task can hold them."""
+    """Texts (held_out, text) to (word, gram, n, met), counted as far as a task can hold them.
 
-    def out(word: pa.Array, gram: pa.Array, n: pa.Array) -> Iterator[pa.RecordBatch]:
-        batch = pa.RecordBatch.from_arrays([word, gram, n], ["word", "gram", "n"])
+    ``n`` counts what is learnt from, ``met`` all texts.  Words are those learnt from.
+    """
+
+    def out(word: pa.Array, gram: pa.Array, n: pa.Array, met: pa.Array) -> Iterator[pa.RecordBatch]:
+        batch = pa.RecordBatch.from_arrays([word, gram, n, met], ["word", "gram", "n", "met"])
         for i in range(0, batch.num_rows, ROWS):
             yield batch.slice(i, ROWS)
 
     def out_words(words: Counter) -> Iterator[pa.RecordBatch]:
-        yield from out(pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64()))
+        n = pa.array(words.values(), pa.int64())
+        yield from out(pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()), n, n)
 
-    def out_grams(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from out(pa.nulls(len(code), pa.binary()), pa.array(code.view(np.int64)), pa.array(n))
+    def out_grams(code: np.ndarray, n: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from out(pa.nulls(len(code), pa.binary()), pa.array(code.view(np.int64)), pa.array(n), pa.array(met))
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         if not parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return code, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        return code, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(code)).astype(np.int64) for k in (1, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = Counter(), []
+        words, parts, size = Counter(), [], 0
         for batch in batches:
-            for _, each, form in _texts(batch, 0):
-                for w in each:
-                    words.update(w)
-                words[END] += len(each)
-                parts.append(np.unique(grams(form, depth)[0], return_counts=True))
+            held_out = batch.column(0).to_pylist()
+            for row, each, form in _texts(batch, 1):
+                learnt = [not held_out[i] for i in row]
+                for w, f, on in zip(each, form, learnt, strict=True):
+                    if on:
+                        words.update(w)
+                        words[END] += 1
+                        size += len(f)
+                for on in (True, False):
+                    own = [f for f, x in zip(form, learnt, strict=True) if x == on]
+                    if own:
+                        code, n = np.unique(grams(own, depth)[0], return_counts=True)
+                        parts.append((code, n * on, n))
                 if sum(len(p[0]) for p in parts) > 2 * HELD:
                     parts = [merged(parts)]
                     if len(parts[0][0]) > HELD:
                         yield from out_grams(*parts.pop())
-                if len(words) > HELD:
+                if len(words) > HELD or size > HELD_BYTES:
                     yield from out_words(words)
-                    words = Counter()
+                    words, size = Counter(), 0
         yield from out_words(words)
         yield from out_grams(*merged(parts))
 
@@ -164,12 +178,37 @@ def shorter(nodes: Nodes, depth: int) -> Nodes:
     return Nodes(key, zeros, ones, weighted, np.exp(own - math.log(2) - weighted))
 
 
-def _rows(depth: int, x: Nodes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x.key), depth, np.int32)), pa.array(x.key.view(np.int64)), *(pa.array(v) for v in (x.zeros, x.ones, x.weighted, x.share))], NODE_NAMES)
+def mixed(chance: np.ndarray, code: np.ndarray, nodes: Nodes, depth: int) -> None:
+    """Takes the grams one depth up: ``chance``, of each decision that was made (NaN where no longer context is known), becomes that of the contexts of ``depth`` bytes."""
+    if not len(nodes.key):
+        return
+    context, byte = (code >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1), code & np.uint64(255)
+    for k in range(8):
+        key = (context << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
+        at = np.minimum(np.searchsorted(nodes.key, key), len(nodes.key) - 1)
+        on = nodes.key[at] == key
+        zeros, ones, share = nodes.zeros[at], nodes.ones[at], nodes.share[at]
+        own = (np.where(_bit(byte, k), ones, zeros) + 0.5) / (zeros + ones + 1)
+        longer = chance[k]
+        chance[k] = np.where(on, np.where(np.isnan(longer), own, share * own + (1 - share) * longer), longer)
+
+
+def _bit(code: np.ndarray, k: int) -> np.ndarray:
+    """The k-th decision of the last byte."""
+    return ((code >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+
+
+NODE_NAMES = ["key", "zeros", "ones", "weighted", "share"]
+_NODES = "key bigint, zeros double, ones double, weighted double, share double"
+_DEEP = f"{_NODES}, met bigint, chance array<float>"
 
 
-NODE_NAMES = ["depth", "key", "zeros", "ones", "weighted", "share"]
-_NODES = "depth int, key bigint, zeros double, ones double, weighted double, share double"
+def _rows(x: Nodes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), *(pa.array(v, pa.float64()) for v in (x.zeros, x.ones, x.weighted, x.share))], NODE_NAMES)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -188,48 +227,49 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
 
 
 def _deep(depth: int, top: int):
+    """Counted grams, sorted by where they end, to the nodes of ``top`` bytes and to the grams with their chances there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, code, n in _whole_groups(batches):
-            nodes = leaves(code.view(np.uint64), n)
-            yield _rows(depth, nodes)
+        for _, code, n, met in _whole_groups(batches):
+            code = code.view(np.uint64)
+            chance = np.full((8, len(code)), np.nan)
+            nodes = leaves(code[n > 0], n[n > 0])
+            mixed(chance, code, nodes, depth)
             for d in range(depth - 1, top - 1, -1):
                 nodes = shorter(nodes, d)
-                yield _rows(d, nodes)
+                mixed(chance, code, nodes, d)
+            kept = _rows(nodes)
+            none = [pa.nulls(kept.num_rows, pa.int64()), pa.nulls(kept.num_rows, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *none], [*NODE_NAMES, "met", "chance"])
+            lists = _lists(chance.T.astype(np.float32).ravel(), np.full(len(code), 8))
+            none = [pa.nulls(len(code), pa.float64())] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *none, pa.array(met), lists], [*NODE_NAMES, "met", "chance"])
 
     return run
 
 
-def _lifted(top: int):
+def _lifted(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, key, zeros, ones, weighted in _whole_groups(batches):
-            yield _rows(top - 1, shorter(Nodes(key.view(np.uint64), zeros, ones, weighted, weighted), top - 1))
+            yield _rows(shorter(Nodes(key.view(np.uint64), zeros, ones, weighted, weighted), depth))
 
     return run
 
 
-def context_tree(counted: DataFrame, depth: int) -> DataFrame:
-    """All nodes but the root's, from (gram, n)."""
-    top = min(GATHERED, depth)
-    last = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * top) - 1))
-    dealt = counted.select(last.alias("last"), "gram", "n").repartition("last").sortWithinPartitions("last")
-    deep = materialize(dealt.mapInArrow(_deep(depth, top), _NODES), "nodes")
-    out, below = [deep], deep
-    for d in range(top, 1, -1):
-        last = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
-        dealt = below.where(F.col("depth") == d).select(last.alias("last"), "key", "zeros", "ones", "weighted").repartition("last").sortWithinPartitions("last")
-        below = materialize(dealt.mapInArrow(_lifted(d), _NODES), "nodes")
-        out.append(below)
-    nodes = out[0]
-    for more in out[1:]:
-        nodes = nodes.unionByName(more)
-    return nodes
+def _nodes_of(df: DataFrame) -> Nodes:
+    """Of contexts of few bytes, here."""
+    got = df.select(*NODE_NAMES).sort("key").toArrow()
+    key, *rest = (got.column(c).to_numpy() for c in NODE_NAMES)
+    return Nodes(key.view(np.uint64), *rest)
 
 
 @dataclass
 class Model:
+    """The nodes of contexts of up to ``depth`` bytes."""
+
     depth: int
     key: np.ndarray  # with the depth above the context
-    one: np.ndarray  # estimate that the decision is 1
+    one: np.ndarray  # estimate that the decision is 1; a last one more, of no node
     share: np.ndarray  # of that estimate, where a longer context is known
     table: tuple | None = field(default=None, repr=False)
 
@@ -263,44 +303,63 @@ class Model:
             todo = todo[(out[todo] >= 0) & (keys[out[todo]] != key[todo])]
         return out
 
-    def _down(self, code: np.ndarray, decision: np.ndarray, depths: range, known: np.ndarray, rest: np.ndarray, node: np.ndarray) -> None:
-        """Follows each gram's contexts down while they are known.
-
-        The probability so far is ``known + rest * (that of the longer contexts)``;
-        ``node`` is the longest context met, -1 once the path has ended.
-        """
-        live = np.flatnonzero(node >= 0)
-        for d in depths:
-            if not len(live):
-                return
-            context = (code[live] >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
-            child = self.find(np.uint64(d << 56) | (context << np.uint64(8)) | decision[live])
-            on, at = child >= 0, node[live]
-            own, share = self.one[at].astype(float), np.where(on, self.share[at], 1.0)
-            known[live] += rest[live] * share * own
-            rest[live] *= 1 - share
-            node[live] = child
-            live = live[on]
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        """Of each gram, the probability of its last byte after the others."""
-        short = min(SHORT, self.depth)
-        head, back = np.unique(code & np.uint64((1 << 8 * (short + 1)) - 1), return_inverse=True)
+    def _own(self, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        return np.where(bit, self.one[node], 1 - self.one[node])
+
+    def log10(self, code: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """Of each gram, the probability of its last byte after the others, ``chance`` being that of each decision by contexts longer than these."""
+        head, back = np.unique(code & np.uint64((1 << 8 * (self.depth + 1)) - 1), return_inverse=True)  # many grams share their short contexts
         total = np.zeros(len(code))
         for k in range(8):
-            first, decision = ((np.uint64(1 << k) | ((c & np.uint64(255)) >> np.uint64(8 - k))) for c in (head, code))
+            first, bit = np.uint64(1 << k) | ((head & np.uint64(255)) >> np.uint64(8 - k)), _bit(head, k)
             node = self.find(first)
+            # the probability so far is known + rest * (that of the longer contexts); a path that has ended has node -1
             known, rest = np.where(node >= 0, 0.0, 0.5), (node >= 0).astype(float)
-            self._down(head, first, range(1, short + 1), known, rest, node)  # many grams share their short contexts
-            known, rest, node = known[back], rest[back], node[back]
-            self._down(code, decision, range(short + 1, self.depth + 1), known, rest, node)
-            live = np.flatnonzero(node >= 0)
-            known[live] += rest[live] * self.one[node[live]]
-            one = ((code >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(one, known, 1 - known))
+            for d in range(1, self.depth + 1):
+                context = (head >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
+                child = self.find(np.uint64(d << 56) | (context << np.uint64(8)) | first)
+                child = np.where(node >= 0, child, -1)
+                share = np.where(child >= 0, self.share[node], 1.0)
+                known += rest * share * self._own(node, bit)
+                rest *= 1 - share
+                node = child
+            own, share = self._own(node, bit), self.share[node]
+            ended, on, below = known + rest * own, known + rest * share * own, rest * (1 - share)
+            total += np.log10(np.where(np.isnan(chance[k]), ended[back], on[back] + below[back] * chance[k]))
         return total
 
 
+def _finished(shared):
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code = batch.column(0).to_numpy().view(np.uint64)
+        chance = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8).T.astype(float)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared.value.log10(code, chance))], ["gram", "met", "score"])
+
+    return rows
+
+
+def gram_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, met, score) of each of (gram, n, met): the log10 probability of the last byte after those before, by the whole tree of all grams that ``n`` counts."""
+    spark = counted.sparkSession
+    top = min(GATHERED, depth)
+    last = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * top) - 1))
+    dealt = counted.select(last.alias("last"), "gram", "n", "met").repartition("last").sortWithinPartitions("last")
+    deep = materialize(dealt.mapInArrow(_deep(depth, top), _DEEP), "contexts")
+    below, short = deep.where("met is null").select(*NODE_NAMES), []
+    for d in range(top, 1, -1):
+        last = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
+        dealt = below.select(last.alias("last"), "key", "zeros", "ones", "weighted").repartition("last").sortWithinPartitions("last")
+        below = materialize(dealt.mapInArrow(_lifted(d - 1), _NODES), "nodes")
+        short.insert(0, _nodes_of(below))
+    short.insert(0, shorter(short[0] if short else _nodes_of(below), 0))
+    key = np.concatenate([x.key | np.uint64(d << 56) for d, x in enumerate(short)])
+    one = np.concatenate([*((x.ones + 0.5) / (x.zeros + x.ones + 1) for x in short), [0.5]])
+    share = np.concatenate([*(x.share for x in short), [1.0]])
+    shared = spark.sparkContext.broadcast(Model(top - 1, key, one, share))
+    found = map_arrow(deep.where("met is not null").select(F.col("key").alias("gram"), "met", "chance"), _finished(shared), "gram bigint, met bigint, score double")
+    return materialize(found, "grams")
+
+
 def _step(n: Column) -> Column:
     """How often, in steps of an eighth of a doubling."""
     return F.floor(8 * F.log2(n)).cast("int")
@@ -317,52 +376,35 @@ def _least_step(df: DataFrame, n: Column, most: int) -> int:
     return least
 
 
-def train(counted: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Model:
-    """The weighted tree of (gram, n), with at most ``nodes`` nodes besides the 255 of the root."""
-    tree = context_tree(counted, depth)
-    seen = F.col("zeros") + F.col("ones")
-    least = _least_step(tree, seen, nodes)
-    names = ["depth", "key", "zeros", "ones", "share"]
-    got = tree.where(_step(seen) >= least).select(*names).toArrow()
-    d, key, zeros, ones, share = (got.column(c).to_numpy() for c in names)
-    low = tree.where("depth = 1").select("key", "zeros", "ones", "weighted").toArrow()  # 256 * 255 at most
-    low = [low.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted")]
-    root = shorter(Nodes(low[0].view(np.uint64), *low[1:], low[3]), 0)
-    key = np.concatenate([root.key, key.view(np.uint64) | (d.astype(np.uint64) << np.uint64(56))])
-    zeros, ones, share = np.concatenate([root.zeros, zeros]), np.concatenate([root.ones, ones]), np.concatenate([root.share, share])
-    return Model(depth, key, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), share.astype(np.float32))
-
-
 class Scorer:
-    """Scores blocks of texts; grams once met in a task are looked up."""
+    """Scores blocks of texts by the grams that are known to it."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.code, self.value = model, np.empty(0, np.uint64), np.empty(0)
+    def __init__(self, code: np.ndarray, value: np.ndarray, depth: int) -> None:
+        self.code, self.value, self.depth = code, value, depth
 
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        code, size = grams(texts, self.model.depth)
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+        """The sum of each text's known grams, its other grams, and how often each of these occurs in it."""
+        code, size = grams(texts, self.depth)
         own, at = np.unique(code, return_inverse=True)
-        place = np.searchsorted(self.code, own)
-        new = np.ones(len(own), bool)
+        value, known = np.zeros(len(own)), np.zeros(len(own), bool)
         if len(self.code):
-            new = self.code[np.minimum(place, len(self.code) - 1)] != own
-        value = np.empty(len(own))
-        value[new] = self.model.log10(own[new])
-        value[~new] = self.value[place[~new]]
-        if len(self.code) < CACHE and new.any():
-            order = np.argsort(both := np.concatenate([self.code, own[new]]), kind="stable")
-            self.code, self.value = both[order], np.concatenate([self.value, value[new]])[order]
+            place = np.minimum(np.searchsorted(self.code, own), len(self.code) - 1)
+            known = self.code[place] == own
+            value[known] = self.value[place[known]]
         total = np.concatenate([[0.0], np.cumsum(value[at])])
         ends = np.cumsum(size)
-        return total[ends] - total[ends - size]
+        other = np.flatnonzero(~known[at])
+        text = np.searchsorted(ends, other, side="right")
+        pair, times = np.unique(text * max(1, len(own)) + at[other], return_counts=True)
+        sizes = np.bincount(pair // max(1, len(own)), minlength=len(texts))
+        return total[ends] - total[ends - size], _lists(own[pair % max(1, len(own))].view(np.int64), sizes), _lists(times.astype(np.int64), sizes)
 
 
 def _scored(shared):
-    """Texts to their scores, and the words whose counts are elsewhere."""
+    """Texts to the scores of what each task knows, and the words and grams whose counts and scores are elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, often, unit, end = shared.value
-        score = Scorer(model)
+        score, often, unit, end = shared.value
         for batch in batches:
             for row, each, form in _texts(batch, 2):
                 cols: tuple[list, ...] = ([], [], [], [], [])
@@ -378,12 +420,19 @@ def _scored(shared):
                         col.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
                 part = batch.select([0, 1]).slice(row[0], len(row))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(score(form)), pa.array([len(f) for f in form], pa.int64())], ["doc_id", "held_out", "n_tokens", "n_known", "base", "words", "times", "score", "size"])
+                total, codes, met = score(form)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(total), codes, met, pa.array([len(f) for f in form], pa.int64())],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "words", "times", "score", "grams", "met", "size"],
+                )
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, nodes: int = NODES, often: int = WORDS) -> DataFrame:
+_SCORED = "held_out boolean, n_tokens bigint, n_known bigint, base double, words array<binary>, times array<bigint>, score double, grams array<bigint>, met array<bigint>, size bigint"
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, cached: int = CACHED, often: int = WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
     Learns from the rows where ``held_out`` isn't true.  Scores are log10
@@ -391,14 +440,24 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     per byte of its normal form.  A null or wordless text is
     its end alone.  With nothing to learn from, words have the base
     probability 1 and each byte 1/256.  Repeated rows repeat, in training too.
+    ``depth`` is 7 at most.  ``cached`` and ``often`` bound what each task knows of grams
+    and words, and change no score.
     Only the id and text columns and those of ``held_out`` are read.
     """
+    if not 1 <= depth <= 7:
+        raise ValueError("depth must be 1 to 7")
     spark = docs.sparkSession
     held_out = F.coalesce(held_out, F.lit(False))
     source = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), as_bytes(text_col).alias("text"))
-    met = source.where(~F.col("held_out")).select("text").mapInArrow(_gathered(depth), "word binary, gram bigint, n bigint")
-    met = materialize(met.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
-    model = train(met.where("gram is not null").select("gram", "n"), depth, nodes)
+    met = source.select("held_out", "text").mapInArrow(_gathered(depth), "word binary, gram bigint, n bigint, met bigint")
+    met = materialize(met.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("met").alias("met")), "counts")
+    codes = gram_scores(met.where("gram is not null").select("gram", "n", "met"), depth)
+    rank = _step(F.col("met"))
+    least_met = _least_step(codes, F.col("met"), cached)
+    top = codes.where(rank >= least_met).select("gram", "score").toArrow()
+    code, value = top.column("gram").to_numpy().view(np.uint64), top.column("score").to_numpy()
+    order = np.argsort(code)
+    score = Scorer(code[order], value[order], depth)
     words = met.where("word is not null").select("word", "n")
     total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
@@ -406,23 +465,29 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     end = next((r["n"] for r in words.where(F.col("word") == F.lit(END)).collect()), 0)
     words = words.where(F.col("word") != F.lit(END))
     least = _least_step(words, F.col("n"), often)
-    top = words.where(_step(F.col("n")) >= least).toArrow()
+    known = (_step(F.col("n")) >= least) & (F.octet_length("word") <= WORD_BYTES)
+    top = words.where(known).toArrow()
     top = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((model, top, unit, end))
+    shared = spark.sparkContext.broadcast((score, top, unit, end))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = source.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, words array<binary>, times array<bigint>, score double, size bigint")
-    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "scores")
+    found = materialize(source.mapInArrow(_scored(shared), f"doc_id {kind}, {_SCORED}").withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = found.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    rare = rare.join(words.where(_step(F.col("n")) < least), "word", "left")
+    rare = rare.join(words.where(~known), "word", "left")
     term = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(unit))
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(term).alias("rest"))
-    return found.join(rare, "row", "left").select(
+    rare = rare.select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), term.alias("base"), F.lit(0.0).alias("score"))
+    more = found.select("row", F.explode(F.arrays_zip("grams", "met")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.met").alias("times"))
+    more = more.join(codes.where(rank < least_met).select("gram", F.col("score").alias("each")), "gram")
+    more = more.select("row", F.lit(0).cast("bigint").alias("known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("each")).alias("score"))
+    rest = rare.unionByName(more).groupBy("row").agg(*(F.sum(c).alias(f"more_{c}") for c in ("known", "base", "score")))
+    whole = lambda c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0))
+    score = whole("score")
+    return found.withColumnRenamed("n_known", "known").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        whole("known").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") * F.lit(math.log2(10)) / F.col("size")).alias("bits_per_byte"),
+        whole("base").alias("base_score"),
+        score.alias("score"),
+        (-score * F.lit(math.log2(10)) / F.col("size")).alias("bits_per_byte"),
     )

@@ -69,14 +69,14 @@ def base(train, texts):
     return [(len(w := tokens(t)), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (len(c) + 1))) for x in w)) for t in texts]
 
 
-@pytest.mark.parametrize("often,depth", [(1 << 18, 3), (2, 2)])
-def test_against_the_definition(spark, often, depth):
+@pytest.mark.parametrize("often,cached,depth", [(1 << 18, 1 << 21, 3), (2, 20, 2), (2, 0, 5), (20, 100, 1), (2, 50, 7)])
+def test_against_the_definition(spark, often, cached, depth):
     r = random.Random(depth)
-    texts = [" ".join(r.choice(["the", "The", "of", "tho", "é", "x\ty", "thought"]) for _ in range(r.randrange(0, 12))) for _ in range(40)]
+    texts = [" ".join(r.choice(["the", "The", "of", "tho", "é", "x\ty", "thought", "long" * 40]) for _ in range(r.randrange(0, 12))) for _ in range(40)]
     rows = [*enumerate([*texts, None, "", " \n", "unseen words Zq", texts[0]])]
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], SCHEMA).repartition(3)
     train = [t for i, t in rows if i % 3 != 1]
-    got = {x.doc_id: x for x in score_texts(df, F.col("doc_id") % 3 == 1, depth=depth, often=often).collect()}
+    got = {x.doc_id: x for x in score_texts(df, F.col("doc_id") % 3 == 1, depth=depth, cached=cached, often=often).collect()}
     assert len(got) == len(rows)
     for (i, _), want, (n, known, total, score) in zip(rows, brute(train, [t for _, t in rows], depth), base(train, [t for _, t in rows]), strict=True):
         x = got[i]
@@ -85,15 +85,27 @@ def test_against_the_definition(spark, often, depth):
         assert math.isclose(x.score, want, rel_tol=1e-5, abs_tol=1e-6)
 
 
-def test_probabilities_sum_to_one_when_pruned(spark):
-    code, n = np.unique(grams([b"abracadabra" * 5 + END, b"banana" + END], 2)[0], return_counts=True)
-    counted = spark.createDataFrame([(int(c), int(k)) for c, k in zip(code, n, strict=True)], "gram long, n long")
-    for nodes in (0, 20, 1 << 20):
-        model = ctw.train(counted, 2, nodes)
-        assert len(model.key) <= nodes + 255
-        for context in itertools.product(b"abz\n", repeat=2):
-            every = np.array([int.from_bytes(bytes([*context, b]), "big") for b in range(256)], np.uint64)
-            assert math.isclose((10 ** model.log10(every)).sum(), 1, rel_tol=1e-6)
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_probabilities_sum_to_one(spark, depth):
+    code, n = np.unique(grams([b"abracadabra" * 5 + END, b"banana" + END], depth)[0], return_counts=True)
+    seen = dict(zip(code.tolist(), n.tolist(), strict=True))
+    after = list(itertools.product(b"abz\n", repeat=depth))
+    every = [int.from_bytes(bytes([*context, b]), "big") for context in after for b in range(256)]
+    counted = spark.createDataFrame([(c, seen.get(c, 0), 1) for c in {*every, *seen}], "gram long, n long, met long")
+    got = {r.gram: r.score for r in ctw.gram_scores(counted, depth).collect()}
+    assert len(got) == len({*every, *seen})
+    for i in range(len(after)):
+        assert math.isclose(sum(10 ** got[c] for c in every[256 * i : 256 * (i + 1)]), 1, rel_tol=1e-6)
+
+
+def test_all_that_was_counted_has_its_place_in_the_tree(spark):
+    # contexts met once count as others do, however many there are
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(40)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {x.doc_id: x.score for x in score_texts(df, F.col("doc_id") >= 290, cached=1000).collect()}
+    for i, want in enumerate(brute(texts[:290], texts, ctw.DEPTH)):
+        assert math.isclose(got[i], want, rel_tol=1e-5)
 
 
 def test_nothing_to_learn_from(spark):
