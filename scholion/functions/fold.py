@@ -1,10 +1,12 @@
-"""Accent-free and case-free forms, without Python on the executors."""
+"""Accent-free and case-free forms, without Python on the executors but for ``restored``."""
 
 from __future__ import annotations
 
+import bisect
 import functools
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,3 +74,44 @@ def find_loosely(needle: Column, region: Column) -> Column:
     pattern = F.concat(F.lit("(?iu)"), F.array_join(F.transform(letters, lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))), r"(?U:\s*)"))
     found = F.regexp_substr(region, pattern)
     return F.when((F.size(letters) > 0) & found.isNotNull(), F.struct(F.instr(region, found).alias("at"), F.length(found).alias("length")))
+
+
+def restored_words(source: str, words: list[str], spare: int = 2) -> list[tuple[str, int | None, int | None]]:
+    """Each word as ``source`` writes it, with its place [start, stop), for taggers that give words back without case or marks.
+
+    Words are found in turn.  Between two found ones the source may have anything
+    that is no letter or digit, ``spare`` letters or digits, and as many as the
+    words have that were not found there; so one unknown word leads none astray.
+    A word that isn't found is returned as it is, without a place.
+    """
+    plain = [_base(c, "NFD").lower().replace("ς", "σ") for c in source]
+    place = [i for i, c in enumerate(plain) for _ in c]
+    folded = "".join(plain)
+    seen = [0]  # letters and digits before each place
+    for c in folded:
+        seen.append(seen[-1] + c.isalnum())
+    out, done, missed = [], 0, 0
+    for word in words:
+        wanted = "".join(_base(c, "NFD") for c in word).lower().replace("ς", "σ")
+        last = bisect.bisect_right(seen, seen[done] + spare + missed) - 1
+        at = folded.find(wanted, done, last + len(wanted)) if wanted else -1
+        if at < 0:
+            out.append((word, None, None))
+            missed += sum(map(str.isalnum, word))
+            continue
+        done, missed = at + len(wanted), 0
+        start, stop = place[at], place[done - 1] + 1
+        while stop < len(source) and unicodedata.combining(source[stop]):
+            stop += 1
+        out.append((source[start:stop], start, stop))
+    return out
+
+
+def restored(source: Column, words: Column) -> Column:
+    """array<struct(text, start, stop)>: ``restored_words`` of a text and an array of words; null where either is null."""
+
+    @F.pandas_udf("array<struct<text:string,start:int,stop:int>>")
+    def run(text: pd.Series, many: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or w is None else [dict(zip(("text", "start", "stop"), x, strict=True)) for x in restored_words(t, [y or "" for y in w])] for t, w in zip(text, many, strict=True)])
+
+    return run(source, words)

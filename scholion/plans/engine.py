@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -37,6 +37,10 @@ class Analysis:
     def addresses(self) -> DataFrame:
         return structure.addresses(self.items)
 
+    @property
+    def order(self) -> DataFrame:
+        return structure.entity_order(self.documents)
+
     @property
     def html(self) -> DataFrame:
         return render.html(self.documents, self.spans)
@@ -53,13 +57,20 @@ def tagged_tokens(docs: DataFrame, tagger: Tagger = entities.rule_tags, cleaned:
     return repair.repair(toks)
 
 
-def analyse(docs: DataFrame, engine: str = "modern", tagger: Tagger = entities.rule_tags, store: str | None = None) -> Analysis:
+def analyse(docs: DataFrame, engine: str | Column = "modern", tagger: Tagger = entities.rule_tags, store: str | None = None) -> Analysis:
     """Documents (doc_id, text) to all tables; ``engine`` picks how mentions are read, ``modern`` or ``ancient``.
 
+    A column of ``docs`` picks it for each document; all but ``modern`` are ``ancient`` then.
+
     With ``store``, a folder all executors share, the tables are written there as they
     are made, and each is computed once; without it they are lazy.
     """
 
+    if isinstance(engine, Column):
+        modern = F.coalesce(engine == "modern", F.lit(False))
+        parts = [analyse(docs.where(on), name, tagger, store and f"{store}/{name}") for name, on in (("modern", modern), ("ancient", ~modern))]
+        return Analysis(*(getattr(parts[0], f.name).unionByName(getattr(parts[1], f.name)) for f in fields(Analysis)))
+
     def kept(df: DataFrame, name: str) -> DataFrame:
         if store is None:
             return df

@@ -35,7 +35,29 @@ def html(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.concat(F.lit('<div class="entities">'), F.array_join(shown, "\n"), F.lit("</div>")).alias("html"))
 
 
-def save(analyses: DataFrame, path: str) -> None:
-    """Appends (id, title, timestamp, filename, version, data); the title of none is the file's name."""
-    titled = analyses.withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), "filename"))
-    titled.write.mode("append").json(path)
+def numbered(html: Column, spans: Column) -> Column:
+    """HTML whose entity marks have no ids yet, with ids and what ``spans``, an array of (label, dep, head), says of the n-th; marks beyond those are ``UNKNOWN``."""
+    said = lambda c, none="": escaped(F.coalesce(c, F.lit(none)))
+    parts = F.split(html, '(?=<mark class="entity")')
+    first = F.when(F.startswith(html, F.lit('<mark class="entity"')), 1).otherwise(0)
+
+    def mark(part: Column, i: Column) -> Column:
+        n = i + first  # of the marks, from 1
+        m = F.get(spans, n - 1)
+        told = F.concat(F.lit('<mark class="entity" id="ent-'), n.cast("string"), F.lit('" data-entity="'), said(m["label"], "UNKNOWN"), F.lit('" data-dep="'), said(m["dep"]), F.lit('" data-head="'), said(m["head"]), F.lit('" tabindex="-1"'))
+        return F.when(n > 0, F.concat(told, F.substring(part, F.lit(len('<mark class="entity"') + 1), F.length(part)))).otherwise(part)
+
+    return F.array_join(F.transform(parts, mark), "")
+
+
+def save(analyses: DataFrame, path: str) -> DataFrame:
+    """Appends (id, title, timestamp, filename, version, data); the title of none is the file's name.
+
+    Rows whose ``status``, if there is such a column, isn't ``complete``, and those without an
+    id, are not written but returned as (id, error).
+    """
+    status = F.col("status") if "status" in analyses.columns else F.lit("complete")
+    error = F.when(F.col("id").isNull(), "There is no such task.").when(~status.eqNullSafe(F.lit("complete")), "The analysis is not complete.")
+    told = analyses.withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), "filename")).withColumn("error", error)
+    told.where("error is null").drop("status", "error").write.mode("append").json(path)
+    return told.where("error is not null").select("id", "error")

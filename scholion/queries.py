@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.functions import clean as C
-from scholion.functions.fold import fold, strip_accents
+from scholion.functions.fold import fold, restored, strip_accents
 from scholion.operators import entities, repair, segment, structure
 from scholion.plans import render
 from scholion.sources import documents as sources
@@ -520,6 +520,36 @@ def html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.html(docs, spans)
 
 
+@query(r"""WITH w AS (SELECT p_partkey AS doc_id, p_name AS text, string_split(p_name, ' ') AS w FROM part),
+k AS (SELECT doc_id, text, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+r AS (SELECT doc_id, i, upper(w[i]) AS form, CAST(coalesce(len(array_to_string(w[1:i - 1], ' ')), 0) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS INT) AS start, CAST(len(w[i]) AS INT) AS n FROM k)
+SELECT doc_id, CAST(2 * i - 2 AS INT) AS pos, form, start, CAST(start + n AS INT) AS stop FROM r
+UNION ALL SELECT doc_id, CAST(2 * i - 1 AS INT), '#', NULL, NULL FROM r""")
+def restored_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower-cased words, with one between them that the text has not, as the text writes them."""
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.upper("p_name").alias("text"), F.split(F.lower("p_name"), " ").alias("w"))
+    words = F.flatten(F.transform("w", lambda x: F.array(x, F.lit("#"))))
+    return docs.select("doc_id", F.posexplode(restored(F.col("text"), words)).alias("pos", "r")).select("doc_id", "pos", F.col("r.text").alias("form"), "r.start", "r.stop")
+
+
+@query("""SELECT p_partkey AS doc_id, 'x<mark class="entity" id="ent-1" data-entity="' || p_brand || '" data-dep="d" data-head="" tabindex="-1">' || p_name || '</mark> '
+|| CASE WHEN p_size % 2 = 0 THEN '<mark class="entity" id="ent-2" data-entity="UNKNOWN" data-dep="" data-head="" tabindex="-1">y</mark>' ELSE '' END AS html FROM part""")
+def numbered_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = '<mark class="entity">'
+    html = F.concat(F.lit(f"x{mark}"), "p_name", F.lit("</mark> "), F.when(F.col("p_size") % 2 == 0, f"{mark}y</mark>").otherwise(""))
+    spans = F.array(F.struct(F.col("p_brand").alias("label"), F.lit("d").alias("dep"), F.lit(None).cast("string").alias("head")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), render.numbered(html, spans).alias("html"))
+
+
+@query("""SELECT CAST(w.o_orderkey AS VARCHAR) AS id, CASE WHEN o.o_orderkey IS NULL THEN 'not_found' WHEN o.o_orderstatus = 'F' THEN 'complete' ELSE 'running' END AS status, o.o_orderkey % 7 AS progress, CASE WHEN o.o_orderkey IS NOT NULL THEN 7 END AS total, NULL::VARCHAR AS error
+FROM (SELECT DISTINCT l_orderkey + l_linenumber AS o_orderkey FROM lineitem) w LEFT JOIN orders o USING (o_orderkey)""")
+def task_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "complete").otherwise("running")
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), status.alias("status"), (F.col("o_orderkey") % 7).alias("progress"), F.lit(7).alias("total"), F.lit(None).cast("string").alias("error"))
+    wanted = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).cast("string").alias("id")).distinct()
+    return sources.statuses(tasks, wanted)
+
+
 # --- all together --------------------------------------------------------------------------
 
 

@@ -8,9 +8,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from scholion.functions.fold import find_loosely, fold, folded_index, strip_accents
+from scholion.functions.fold import find_loosely, fold, folded_index, restored, strip_accents
 from scholion.operators import entities, repair, segment, structure
 from scholion.plans.engine import analyse
+from scholion.plans.render import numbered, save
 from scholion.sources import documents as sources
 
 TOKEN = "doc_id int, sent int, tok int, text string, start int, stop int, ner string"
@@ -185,8 +186,6 @@ def test_documents(spark):
 
 
 def test_saved(spark, tmp_path):
-    from scholion.plans.render import save
-
     good = spark.createDataFrame([("a" * 32, " ", "2024-01-02T03:04:05", "f.txt", "1", "{}"), ("b" * 32, "t", "2024-02-02T03:04:05", "g.txt", "1", "{}"), ("nope", "t", None, "g", "1", "{}")], "id string, title string, timestamp string, filename string, version string, data string")
     save(good, str(tmp_path / "s"))
     (tmp_path / "s" / "broken.json").write_text("{not json\n")
@@ -260,3 +259,45 @@ def test_stored_analysis(spark, tmp_path):
     a, b = analyse(docs), analyse(docs, store=str(tmp_path / "a"))
     assert sorted(map(str, a.items.collect())) == sorted(map(str, b.items.collect()))
     assert sorted(map(str, a.html.collect())) == sorted(map(str, b.html.collect()))
+
+
+def test_words_get_their_form_back(spark):
+    text = "Ὁ Ἄνθρωπος, 12 ΛΌΓΟΣ· e\u0301te"
+    rows = [(1, text, ["ο", "ανθρωποσ", "12", "λογος", "ete"]), (2, "Abc xyzw Def", ["abc", "q", "def"]), (3, "Abc xyzw Def", ["abc", "qqqq", "def"]), (4, None, ["a"]), (5, "a", []), (6, "aa bb", ["", "bb", "aa"])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, words array<string>")
+    got = {r.doc_id: r.x and [tuple(w) for w in r.x] for r in df.select("doc_id", restored(F.col("text"), F.col("words")).alias("x")).collect()}
+    assert [w[0] for w in got[1]] == ["Ὁ", "Ἄνθρωπος", "12", "ΛΌΓΟΣ", "e\u0301te"]
+    assert all(text[a:b] == w for w, a, b in got[1])
+    assert got[2] == [("Abc", 0, 3), ("q", None, None), ("def", None, None)]  # four letters are too many for one that was missed
+    assert got[3] == [("Abc", 0, 3), ("qqqq", None, None), ("Def", 9, 12)]
+    assert got[4] is None and got[5] == []
+    assert got[6] == [("", None, None), ("bb", 3, 5), ("aa", None, None)]
+
+
+def test_engine_of_each_document(spark):
+    docs = spark.createDataFrame([(i, "Η Άννα πήγε το 1821 με 12 €.", e) for i, e in enumerate(["modern", "ancient", None, "modern"])], "doc_id int, text string, engine string")
+    got, one = analyse(docs, F.col("engine")), {e: analyse(docs, e) for e in ("modern", "ancient")}
+    for name in ("tokens", "mentions", "spans", "items", "html", "order"):
+        want = [r for e, ids in (("modern", [0, 3]), ("ancient", [1, 2])) for r in getattr(one[e], name).where(F.col("doc_id").isin(ids)).collect()]
+        assert sorted(map(str, getattr(got, name).collect())) == sorted(map(str, want))
+
+
+def test_marks_beyond_the_spans(spark):
+    mark = '<mark class="entity" style="x">'
+    df = spark.createDataFrame([(f"a {mark}b</mark> {mark}c</mark>",), (f"{mark}b</mark>{mark}c</mark>",), ("no",)], "html string")
+    spans = F.array(F.struct(F.lit("P&Q").alias("label"), F.lit("d").alias("dep"), F.lit(None).cast("string").alias("head")))
+    said = lambda n, label, dep: f'<mark class="entity" id="ent-{n}" data-entity="{label}" data-dep="{dep}" data-head="" tabindex="-1" style="x">'
+    got = [r[0] for r in df.select(numbered(F.col("html"), spans)).collect()]
+    assert got == [f"a {said(1, 'P&amp;Q', 'd')}b</mark> {said(2, 'UNKNOWN', '')}c</mark>", f"{said(1, 'P&amp;Q', 'd')}b</mark>{said(2, 'UNKNOWN', '')}c</mark>", "no"]
+
+
+def test_only_complete_analyses_are_saved(spark, tmp_path):
+    rows = [("a" * 32, "complete"), ("b" * 32, "running"), (None, "complete"), ("c" * 32, None)]
+    tasks = spark.createDataFrame(rows, "id string, status string")
+    told = tasks.select("*", F.lit("t").alias("title"), F.lit("f.txt").alias("filename"), F.current_timestamp().alias("timestamp"), F.lit("1").alias("version"), F.lit("{}").alias("data"))
+    refused = save(told, str(tmp_path / "s")).collect()
+    assert sorted(str(r.id)[0] for r in refused) == ["N", "b", "c"]
+    assert [r.id[0] for r in sources.read_saved(spark, str(tmp_path / "s")).collect()] == ["a"]
+    more = tasks.select("*", F.lit(1).alias("progress"), F.lit(2).alias("total"), F.lit(None).cast("string").alias("error"))
+    found = sources.statuses(more, spark.createDataFrame([("b" * 32,), ("zz",)], "id string")).collect()
+    assert {r.id[0]: (r.status, r.progress) for r in found} == {"b": ("running", 1), "z": ("not_found", None)}
