@@ -329,7 +329,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         both = many.select("tab", "u", "v").unionByName(many.where("u <> v").select("tab", F.col("v").alias("u"), F.col("u").alias("v")))
         met = both.join(hubs, ["tab", "v"]).join(placed.select("tab", F.col("fp").alias("u"), F.col("key").alias("a"), F.col("long").alias("fa"), F.col("root").alias("ra")), ["tab", "u"])
         edges = edges.unionByName(_linked(source, met.where(F.col("ra") != F.col("rb")).where(_apart("fa", "fb") <= FAR), words, similarity))
-        placed, left = _unsettled(members, open_, edges)
+        placed, left = _unsettled(members, left.select("tab", "u", "v"), edges)  # what is settled stays so
     if left:  # each text of one value with each of the other, but for the first ones, which have met; in blocks of a bounded number of pairs
         left = left.withColumn("cuts", F.ceil(F.col("pairs") / pairs_at_once).cast("bigint"))
         values = left.select("tab", F.col("u").alias("fp")).unionByName(left.select("tab", F.col("v").alias("fp"))).distinct()
