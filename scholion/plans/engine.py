@@ -49,7 +49,7 @@ class Analysis:
 def tagged_tokens(docs: DataFrame, tagger: Tagger = entities.rule_tags, cleaned: bool = False) -> DataFrame:
     """Cleaned texts to repaired tokens, white space left out; ``tok`` counts from 1 in a sentence."""
     text = docs if cleaned else docs.select("doc_id", C.currency(C.clean(F.col("text"))).alias("text"))
-    toks = segment.sentences(segment.sentence_starts(segment.tokens(text))).where(~F.col("blank"))
+    toks = segment.tokens(text, rules=[segment.starts_rule(), segment.sentences_rule()]).where(~F.col("blank"))
     number = F.row_number().over(Window.partitionBy("doc_id", "sent").orderBy("tok"))
     toks = tagger(toks.withColumn("_n", number).drop("tok", "blank", "starts").withColumnRenamed("_n", "tok"))
     none = {"pos": "''", "dep": "''", "head_id": "0"}

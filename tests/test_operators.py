@@ -129,6 +129,37 @@ def test_folding(spark):
     assert (row[3]["at"], row[3]["length"]) == (6, 3)
 
 
+def random_texts(spark, seed, n=60, words=()):
+    r = random.Random(seed)
+    words = words or [" ", " ", " ", "\n", "\n\n", " \n\n ", ".", ",", "!", "/", "-", "αρ", "τηλ", "ΥΠ", "λ", "1", "22", "333", "984", "1821", "4444", "€", "λόγος", "x"]
+    rows = [(i, "".join(r.choice(words) for _ in range(r.randrange(0, 90)))) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, None), (None, "a. b\n\nc")], "doc_id long, text string").repartition(3)
+
+
+def compared(df, *columns):
+    return sorted(map(str, df.select("doc_id", "tok", "text", "start", "stop", *columns).collect()))
+
+
+@pytest.mark.parametrize("block", [1 << 17, 40])
+def test_sentences_as_rules_and_as_windows(spark, monkeypatch, block):
+    monkeypatch.setattr(segment, "BLOCK", block)
+    for suffix in (False, True):
+        df = random_texts(spark, suffix)
+        want = segment.sentences(segment.sentence_starts(segment.tokens(df), suffix))
+        got = segment.tokens(df, rules=[segment.starts_rule(suffix), segment.sentences_rule()])
+        assert compared(got, "blank", "starts", "sent", "para") == compared(want, "blank", "starts", "sent", "para")
+
+
+@pytest.mark.parametrize("name", ["sentence_starts"])
+def test_tokens_of_texts_are_not_sorted(spark, tmp_path, name):
+    """Sorts of tokens took 7 times the input's disk."""
+    from scholion import queries
+
+    random_texts(spark, 9).withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
+
+
 def test_sentences(spark):
     texts = ["Σύντομη ιστορία\n\nΗ επέκταση\n\nΟ Ιωάννης", "Τίτλος\n \n\nΚείμενο", "πρώτη γραμμή\nδεύτερη", "με τον ν.\n\nΆρθρο πρώτο", "τον ν. 4548 ναι. Όχι"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
