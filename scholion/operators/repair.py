@@ -1,4 +1,4 @@
-"""Tag repair as windows over a sentence's tokens: no scan, one sort.
+"""Tag repair as windows over a sentence's tokens: no scan, one sort; numbers also as a rule on texts' tokens, without one.
 
 Tokens are (doc_id, sent, tok, text, start, stop, ner).  Tags are ``O`` or a prefix of
 B, I, E, S and a label.
@@ -6,11 +6,16 @@ B, I, E, S and a label.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from scholion.functions.fold import fold, fold_text
+from scholion.operators.segment import beside, Rule, Seen
 
 # Abbreviations that are no initials, and words after which a letter is one.
 NO_INITIALS = sorted({fold_text(w) for w in ("γρ", "παρ", "σοῦμα")})
@@ -46,6 +51,36 @@ def merge_numbers(toks: DataFrame, keys: list[str] | None = None, order: str = "
     return out.withColumn("ner", F.when(F.col("_p").isNotNull(), F.concat_ws("-", "_p", label)).otherwise(F.col("ner"))).drop("_l", "_p", "_n")
 
 
+def _parts(seen: Seen) -> Seen:
+    run, start, stop = (seen[k] for k in ("run", "start", "stop"))
+    link = seen["few"] & beside(seen["point"], run, 1) & beside(seen["three"], run, 2) & (beside(start, run, 1) == stop) & (beside(start, run, 2) == beside(stop, run, 1))
+    back, two = beside(link, run, -1), beside(link, run, -2)
+    part = np.where(back | link & two, 2, np.where(link, 1, np.where(two, 3, 0)))
+    group = ((run != np.append(run[:1], run[:-1])) | (part == 1)).cumsum()
+    best = np.zeros(int(group.max(initial=0)) + 1, np.int64)
+    on = part > 0
+    np.maximum.at(best, group[on], np.where(seen["money"], 2, np.where(seen["quantity"], 1, 0))[on])
+    return seen | {"part": np.where(on, part + 4 * best[group], 0)}
+
+
+def numbers_rule(ner: Callable[[Column, Column], Column] | None = None) -> Rule:
+    """``merge_numbers`` as a rule of ``segment.tokens``, whose documents are one sentence; ``merged`` makes tags of the ``part`` that it adds.
+
+    ``ner`` gives a token's tag so far by its text and ``tok``; without it a rule before tells ``money`` and ``quantity``.
+    """
+    tests = {"few": lambda text, tok: text.rlike(r"(?U)^\d{1,3}$"), "three": lambda text, tok: text.rlike(r"(?U)^\d{3}$"), "point": lambda text, tok: text.isin(".", ",")}
+    if ner is not None:
+        tests |= {k.lower(): lambda text, tok, k=k: ner(text, tok).contains(k) for k in ("MONEY", "QUANTITY")}
+    return Rule(_parts, tests, {"part": T.IntegerType()})
+
+
+def merged(part: Column, ner: Column) -> Column:
+    """The tag after ``numbers_rule``."""
+    place, best = part.bitwiseAND(3), F.shiftright(part, 2)
+    label = F.when(best == 2, "MONEY").when(best == 1, "QUANTITY").otherwise("CARDINAL")
+    return F.when(place == 0, ner).otherwise(F.concat(F.when(place == 1, "B-").when(place == 2, "I-").otherwise("E-"), label))
+
+
 def _is(tag: Column, *labels: str) -> Column:
     return F.coalesce(F.regexp_replace(tag, "^[BIES]-", "").isin(*labels), F.lit(False))
 

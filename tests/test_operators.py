@@ -150,7 +150,17 @@ def test_sentences_as_rules_and_as_windows(spark, monkeypatch, block):
         assert compared(got, "blank", "starts", "sent", "para") == compared(want, "blank", "starts", "sent", "para")
 
 
-@pytest.mark.parametrize("name", ["sentence_starts", "paragraph_index"])
+@pytest.mark.parametrize("block", [1 << 17, 40])
+def test_numbers_as_rules_and_as_windows(spark, monkeypatch, block):
+    monkeypatch.setattr(segment, "BLOCK", block)
+    df = random_texts(spark, 5, words=["1", "22", "333", "333", "984", "1821", ".", ".", ",", " ", "€", " €", " x "])
+    tag = lambda text, tok: F.when(tok % 7 == 0, "S-MONEY").when(tok % 3 == 0, "B-QUANTITY").otherwise("O")
+    want = repair.merge_numbers(segment.tokens(df).withColumn("ner", tag(F.col("text"), F.col("tok"))), ["doc_id"])
+    got = segment.tokens(df, rules=[repair.numbers_rule(tag)]).withColumn("ner", repair.merged(F.col("part"), tag(F.col("text"), F.col("tok"))))
+    assert compared(got, "ner") == compared(want, "ner") and got.where("part > 0").count() > 20
+
+
+@pytest.mark.parametrize("name", ["sentence_starts", "paragraph_index", "dotted_numbers"])
 def test_tokens_of_texts_are_not_sorted(spark, tmp_path, name):
     """Sorts of tokens took 7 times the input's disk."""
     from scholion import queries
