@@ -5,12 +5,15 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from scholion.operators import segment
+
 # Fixed values.
 JOINERS = (".", ",", "/", "-", "'")
 NUMERIC = ("CARDINAL", "MONEY", "QUANTITY")
@@ -246,11 +249,14 @@ def project_spans(toks: DataFrame, spans: DataFrame) -> DataFrame:
     return toks.drop("ner").join(best, ["doc_id", "sent", "tok"], "left").withColumn("ner", F.coalesce("_t", F.lit("O"))).drop("_t")
 
 
+_NUMBER, _YEAR = r"(?U)^\d+$", r"^(1[5-9]|20)\d\d$"
+
+
 def rule_tags(toks: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Adds ``ner`` where no model does: numbers, amounts before a currency sign, years, and words of a gazetteer (text, label)."""
     by = Window.partitionBy("doc_id", "sent").orderBy("tok")
-    number, after = F.col("text").rlike(r"(?U)^\d+$"), F.lead("text").over(by)
-    tag = F.when(number & after.isin(*CURRENCY), "S-MONEY").when(F.col("text").rlike(r"^(1[5-9]|20)\d\d$"), "S-DATE").when(number, "S-CARDINAL").otherwise("O")
+    number, after = F.col("text").rlike(_NUMBER), F.lead("text").over(by)
+    tag = F.when(number & after.isin(*CURRENCY), "S-MONEY").when(F.col("text").rlike(_YEAR), "S-DATE").when(number, "S-CARDINAL").otherwise("O")
     out = toks.withColumn("ner", tag)
     if gazetteer is not None:
         known = gazetteer.select(F.col("text").alias("_t"), F.col("label").alias("_l")).dropDuplicates(["_t"])
@@ -259,6 +265,22 @@ def rule_tags(toks: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def _valued(seen: segment.Seen) -> segment.Seen:
+    seen = segment.where(seen, ~seen["blank"])
+    money = seen["number"] & segment.beside(seen["sign"], seen["run"], 1)
+    return seen | {"money": money, "quantity": np.zeros_like(money)}
+
+
+def numbers_rule() -> segment.Rule:
+    """What ``rule_tags`` sees of neighbours, as a rule of ``segment.tokens``, whose documents are one sentence; white space goes, ``number_tag`` makes tags of the ``money`` that it adds."""
+    return segment.Rule(_valued, {"number": lambda text, tok: text.rlike(_NUMBER), "sign": lambda text, tok: text.isin(*CURRENCY)}, {"money": T.BooleanType()})
+
+
+def number_tag(text: Column, money: Column) -> Column:
+    """The tag after ``numbers_rule``, that of ``rule_tags`` without a gazetteer."""
+    return F.when(money, "S-MONEY").when(text.rlike(_YEAR), "S-DATE").when(text.rlike(_NUMBER), "S-CARDINAL").otherwise("O")
+
+
 #: Tags of the sentences of a batch: for each token ner, pos, dep and head_id, the head's place in the sentence from 1 or 0.
 Model = Callable[[list[list[str]]], list[list[tuple[str, str, str, int]]]]
 

@@ -158,9 +158,13 @@ def test_numbers_as_rules_and_as_windows(spark, monkeypatch, block):
     want = repair.merge_numbers(segment.tokens(df).withColumn("ner", tag(F.col("text"), F.col("tok"))), ["doc_id"])
     got = segment.tokens(df, rules=[repair.numbers_rule(tag)]).withColumn("ner", repair.merged(F.col("part"), tag(F.col("text"), F.col("tok"))))
     assert compared(got, "ner") == compared(want, "ner") and got.where("part > 0").count() > 20
+    want = repair.merge_numbers(entities.rule_tags(segment.tokens(df).where("not blank").withColumn("sent", F.lit(0))))
+    got = segment.tokens(df, rules=[entities.numbers_rule(), repair.numbers_rule()])
+    got = got.withColumn("ner", repair.merged(F.col("part"), entities.number_tag(F.col("text"), F.col("money"))))
+    assert compared(got, "ner") == compared(want, "ner") and got.where("money").count() > 5
 
 
-@pytest.mark.parametrize("name", ["sentence_starts", "paragraph_index", "dotted_numbers"])
+@pytest.mark.parametrize("name", ["sentence_starts", "paragraph_index", "dotted_numbers", "entities_by_source"])
 def test_tokens_of_texts_are_not_sorted(spark, tmp_path, name):
     """Sorts of tokens took 7 times the input's disk."""
     from scholion import queries
