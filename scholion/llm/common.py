@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -46,6 +47,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "8m")
 
 
+#: Scratch tables that each open call of ``settled`` in this thread has written.
+_making = threading.local()
+
+
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """``materialize`` of what ``make`` gives; the scratch tables written on the way there are deleted."""
+    open_ = _making.__dict__.setdefault("paths", [])
+    depth = len(open_)
+    open_.append([])
+    try:
+        df, passed = make(), open_[depth]
+    finally:
+        del open_[depth:]
+    out = materialize(df, tag)
+    for path in passed:
+        _delete(df.sparkSession, path)
+    return out
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -54,14 +74,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if open_ := getattr(_making, "paths", None):
+        open_[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables of this application, which operators leave for their results to read; none of these may be read after it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholion.llm.common import as_bytes, map_arrow, materialize, once, splitmix
+from scholion.llm.common import as_bytes, map_arrow, materialize, once, settled, splitmix
 from scholion.llm.graph import components
 
 SEED = 42
@@ -241,11 +241,15 @@ def _sets_of(source: DataFrame, keys: DataFrame, words: int) -> DataFrame:
 
 def _linked(source: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of ``pairs`` (a, b) of keys, those whose shingle sets are alike."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.distinct(), "candidates")
-    sets = _sets_of(source, pairs.select(F.explode(F.array("a", "b")).alias("key")), words)
-    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
-    return materialize(map_arrow(pairs.select("a", "b", "sa", "sb"), _similar(similarity), "a binary, b binary"), "alike")
+
+    def alike() -> DataFrame:
+        met = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met = materialize(met.distinct(), "candidates")
+        sets = _sets_of(source, met.select(F.explode(F.array("a", "b")).alias("key")), words)
+        met = met.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+        return map_arrow(met.select("a", "b", "sa", "sb"), _similar(similarity), "a binary, b binary")
+
+    return settled(alike, "alike")
 
 
 def _numbers(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -271,23 +275,8 @@ def _unsettled(members: DataFrame, open_: DataFrame, edges: DataFrame) -> tuple[
     return placed, None if left.isEmpty() else left
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hub_pairs: int = HUB_PAIRS, pairs_at_once: int = PAIRS_AT_ONCE) -> DataFrame:
-    """``docs`` with one document of each group of near copies.
-
-    Texts are linked if their sets of ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` or more.  Candidates agree but for two bits in one of
-    ``BANDS`` bands of a long fingerprint, found as in ``simhash_groups``; the sets
-    decide.  Every candidate pair is compared unless its texts are linked already:
-    texts of equal bands come first, then the first texts of near bands, then what is
-    left between different components; ``hub_pairs`` and ``pairs_at_once`` only
-    choose the order and size of that.  Of each group the row of the smallest id
-    stays, of ties the smallest text hash, and one of rows equal in id and text.  Null texts are
-    empty texts; texts without words, or with fewer than a shingle, are near
-    copies of those with the same words only.  All columns pass through.
-    """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).alias("key")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), key, row)
+def _staying(source: DataFrame, words: int, similarity: float, hub_pairs: int, pairs_at_once: int) -> DataFrame:
+    """(key) of the texts of ``source`` (id, text, key) that ``drop_near_copies`` keeps."""
     tables = -(-BANDS * BAND_BITS // 64)
     prints = fingerprints(source, "key", "text", words, tables, repeats=False).withColumnRenamed("id", "key").groupBy("key").agg(F.first("fp").alias("fp"))
     prints = materialize(prints, "fingerprints")
@@ -347,8 +336,28 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids = source.groupBy("key").agg(F.min("id").alias("least"))
     ids = ids.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("key"))).alias("first"))
-    stay = first.select("first.key")
+    return first.select("first.key")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hub_pairs: int = HUB_PAIRS, pairs_at_once: int = PAIRS_AT_ONCE) -> DataFrame:
+    """``docs`` with one document of each group of near copies.
+
+    Texts are linked if their sets of ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more.  Candidates agree but for two bits in one of
+    ``BANDS`` bands of a long fingerprint, found as in ``simhash_groups``; the sets
+    decide.  Every candidate pair is compared unless its texts are linked already:
+    texts of equal bands come first, then the first texts of near bands, then what is
+    left between different components; ``hub_pairs`` and ``pairs_at_once`` only
+    choose the order and size of that.  Of each group the row of the smallest id
+    stays, of ties the smallest text hash, and one of rows equal in id and text.  Null texts are
+    empty texts; texts without words, or with fewer than a shingle, are near
+    copies of those with the same words only.  All columns pass through.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).alias("key")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), key, row)
+    stay = settled(lambda: _staying(source, words, similarity, hub_pairs, pairs_at_once), "stay")
     # copies meet in the tasks that read them, then one of each task
     copy = source.groupBy("key").agg(F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"))).alias("row"))
-    kept = copy.join(materialize(stay, "stay").hint("merge"), "key")
+    kept = copy.join(stay.hint("merge"), "key")
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

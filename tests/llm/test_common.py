@@ -1,6 +1,8 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from scholion.llm import common
 from scholion.llm.common import byte_buffer, id_remainder, materialize, scratch_dir, sliding_least
 from scholion.llm.graph import components
 
@@ -47,3 +49,27 @@ def test_remainder_and_scratch(spark):
     assert got == {i: zlib.crc32(b"" if i is None else str(i).encode()) % 3 for i in (0, 7, -5, 10**12, None)}
     kept = materialize(df, "t")
     assert kept.count() == 5 and any(scratch_dir(spark).removeprefix("file://") in f for f in kept.inputFiles())
+
+
+def test_settled_leaves_its_result_only(spark):
+    """Also where calls are nested, and where one fails."""
+
+    def written():
+        path = spark._jvm.org.apache.hadoop.fs.Path(common.scratch_dir(spark))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {x.getPath().getName().split("-")[0] for x in fs.listStatus(path)} & {"way", "inner", "outer", "lost"}
+
+    def inner():
+        return common.materialize(spark.range(5), "way").where("id > 1")
+
+    def outer():
+        one = common.settled(inner, "inner")
+        assert written() == {"inner"}
+        return one.unionByName(common.materialize(spark.range(2), "way"))
+
+    assert sorted(x.id for x in common.settled(outer, "outer").collect()) == [0, 1, 2, 3, 4]
+    assert written() == {"outer"}
+    with pytest.raises(ZeroDivisionError):
+        common.settled(lambda: 1 // 0, "lost")
+    common.materialize(spark.range(2), "way")
+    assert written() == {"outer", "way"}
