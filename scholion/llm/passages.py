@@ -10,20 +10,20 @@ different texts together.  Of a pair of texts, each such meeting is a rectangle
 of window starts; where rectangles of ``ENOUGH`` hashes overlap are candidates,
 all of them, and the shingle sets of the two windows decide.
 
-Up to ``CELL`` compact windows of one token are all paired.  More of them are paired
-with the first and with their neighbours in order of the text hash, which
-connects passages that are equal, and near ones through those.  That is done
-where texts are read, if they are that many there, so that a frequent passage
-sends one row on and no task gets them all.
+Up to ``CELL`` compact windows of one token are all paired.  More of them, a crowd, are
+compared without pairs (``crowd_links``): equal windows are one, windows with too many
+tokens that no other text there has are out, and the others meet the most frequent
+ones first; what one of those has linked need not be compared again, except
+between texts that are still apart.  A crowd loses no link, so that two texts with near
+windows that share a crowd's token need no further hash in common.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +40,14 @@ SIMILARITY = 0.8
 CELL = 12
 #: Tokens hashed at once, a million at most.
 BLOCK = 1 << 18
-ROW = ["least", "key", "place", "b", "at_b"]
+ROW = ["least", "key", "place"]
+MET = ["a", "b", "at_a", "at_b", "least"]
 BOX = ["a", "b", "from_a", "to_a", "from_b", "to_b"]
+FOUND = ["a", "b", "starts_a", "starts_b"]
+#: Pairs of windows of a crowd that are compared at once.
+PAIRS = 1 << 18
+#: Bytes of tokens that leave a task at once.
+PIECE = 1 << 22
 #: Window starts of one text that are compared at once with as many of another.
 TILE = 64
 
@@ -67,42 +73,14 @@ def compact_windows(parts: list[np.ndarray], window: int, hashes: int) -> Iterat
         yield j, own, ok[first] - base[own], more, least[first] - ok[first], value[least[first]]
 
 
-def _crowds(least: np.ndarray, key: np.ndarray, place: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows to pass on, and pairs of rows that need not: of a token's rows here, if over ``cell``, only the first goes on."""
-    order = np.lexsort((place, key, least))
-    sorted_ = least[order]
-    start = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    size = np.diff(np.append(start, len(order)))
-    big = np.flatnonzero(size > cell)
-    if not len(big):
-        return order, order[:0], order[:0]
-    many = np.repeat(size > cell, size)
-    hub = np.repeat(start, size)
-    rest = np.flatnonzero(many & (np.arange(len(order)) > hub))
-    x, y = np.append(hub[rest], rest - 1), np.append(rest, rest)
-    x, y = order[x], order[y]
-    on = key[x] != key[y]
-    first = np.zeros(len(order), bool)
-    first[start] = True
-    return order[~many | first], x[on], y[on]
-
-
-def _windows(words: int, window: int, hashes: int, cell: int):
-    """Texts, each once in a task, to (least, key, place): first start, place of the least token, further starts and hash in one number.
-
-    Rows with ``b`` are pairs already, of tokens that are frequent where they were read.
-    """
+def _windows(words: int, window: int, hashes: int):
+    """Texts, each once in a task, to (least, key, place): first start, place of the least token, further starts and hash in one number."""
 
     def made(parts: list[np.ndarray], keys: list[int], starts: list[int]) -> Iterator[pa.RecordBatch]:
         keys, starts = np.array(keys, np.int64), np.array(starts, np.int64)
         for j, own, s, more, at, value in compact_windows(parts, window, hashes):
-            least, key, place = value.view(np.int64), keys[own], (s + starts[own]) << 24 | at << 16 | more << 8 | j
-            on, x, y = _crowds(least, key, place, cell)
-            none = pa.nulls(len(on), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(least[on]), pa.array(key[on]), pa.array(place[on]), none, none], ROW)
-            if len(x):
-                spread = splitmix((key[x] ^ place[y]).view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (spread, key[x], place[x], key[y], place[y])], ROW)
+            place = (s + starts[own]) << 24 | at << 16 | more << 8 | j
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(keys[own]), pa.array(place)], ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -126,65 +104,50 @@ def _windows(words: int, window: int, hashes: int, cell: int):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], cell: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (least, key) to (a, b, at_a, at_b) of texts that share a least token."""
-
-    def pairs(least, key, place, large, hub) -> pa.RecordBatch | None:
-        x, y = [], []
-        small = np.flatnonzero(~large)
-        for step in range(1, cell):
-            on = small[small + step < len(least)]
-            on = on[(least[on] == least[on + step]) & (key[on] != key[on + step])]
-            if not len(small) or not (small[:-1] + step < len(least)).any():
+    """Rows sorted by (least, key, place) to (a, b, at_a, at_b) of texts that share a least token; of a crowd's texts to (key, null, first start, last start, least)."""
+
+    def pairs(least: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = [np.empty(0, np.int64)]
+        for step in range(1, min(cell, len(least))):
+            on = np.flatnonzero(least[step:] == least[:-step])
+            if not len(on):
                 break
-            x.append(on), y.append(on + step)
-        many = np.flatnonzero(large)
-        after = many[(many > 0)]
-        after = after[(least[after] == least[after - 1]) & (key[after] != key[after - 1])]
-        x.append(after - 1), y.append(after)
-        x, y = np.concatenate(x), np.concatenate(y)
-        a, b, at_a, at_b = key[x], key[y], place[x], place[y]
-        if len(many):
-            first = hub[0][many]
-            on = first != key[many]
-            a, b = np.append(a, first[on]), np.append(b, key[many][on])
-            at_a, at_b = np.append(at_a, hub[1][many][on]), np.append(at_b, place[many][on])
-        swap = a > b
-        cols = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, at_b, at_a), np.where(swap, at_a, at_b)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "at_a", "at_b"]) if len(a) else None
-
-    rest, ran, first = None, 0, (0, 0)
+            x.append(on[key[on] != key[on + step]] << 16 | step)
+        x = np.concatenate(x)
+        if len(x):
+            x, y = x >> 16, (x >> 16) + (x & 0xFFFF)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (key[x], key[y], place[x], place[y])), pa.nulls(len(x), pa.int64())], MET)
+
+    def crowds(least: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = place >> 24
+        end = start + (place >> 8 & 255)
+        new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (key[1:] != key[:-1]) | (start[1:] != end[:-1] + 1)]))
+        if len(least):
+            to = np.append(new[1:], len(least)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.nulls(len(new), pa.int64()), pa.array(start[new]), pa.array(end[to]), pa.array(least[new])], MET)
+
+    rest, large = [np.empty(0, np.int64)] * 3, False
     for batch in batches:
-        paired = batch.column(3).is_valid()
-        if batch.column(3).null_count < batch.num_rows:
-            both = batch.filter(paired)
-            swap = both.column(1).to_numpy() > both.column(3).to_numpy()
-            cols = [both.column(k).to_numpy() for k in (1, 3, 2, 4)]
-            cols = [np.where(swap, cols[k ^ 1], cols[k]) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "at_a", "at_b"])
-            batch = batch.filter(pa.compute.invert(paired))
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        least, key, place = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest else now
-        if not len(least):
+        rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(rest, batch.columns, strict=True)]
+        fresh = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in rows]))
+        ran = rows[0][0] if large else None
+        fresh[0] = not large  # a crowd's last row is only here to be compared with
+        if not fresh.any() or not len(rows[0]):
             continue
-        start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        rows = [x[fresh] for x in rows]
+        least = rows[0]
+        start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         size = np.diff(np.append(start, len(least)))
-        group = np.repeat(np.arange(len(start)), size)
-        hub_key, hub_place = key[start].copy(), place[start].copy()
-        if ran:
-            hub_key[0], hub_place[0] = first
-        size[0] += ran
         big = size > cell
-        large = big[group]
-        cut = len(least) if big[-1] else start[-1]
-        if cut and (out := pairs(least[:cut], key[:cut], place[:cut], large[:cut], (hub_key[group], hub_place[group]))) is not None:
-            yield out
-        if big[-1]:
-            ran, first = int(size[-1]), (hub_key[-1], hub_place[-1])
-            rest = [least[-1:], key[-1:], place[-1:]]
-        else:
-            ran, rest = 0, [x[cut:] for x in (least, key, place)]
-    if rest and not ran and (out := pairs(*rest, np.zeros(len(rest[0]), bool), (rest[1], rest[2]))) is not None:
-        yield out
+        big[0] |= ran is not None and least[0] == ran
+        many = np.repeat(big, size)
+        large = bool(big[-1])
+        cut = len(least) if large else start[-1]
+        yield from crowds(*(x[many] for x in rows))
+        yield from pairs(*(x[:cut][~many[:cut]] for x in rows))
+        rest = [x[-1:] for x in rows] if large else [x[cut:] for x in rows]
+    if not large:
+        yield from pairs(*rest)
 
 
 def overlaps(at_a: np.ndarray, at_b: np.ndarray, enough: int) -> list[tuple[int, int, int, int]]:
@@ -225,7 +188,7 @@ def overlaps(at_a: np.ndarray, at_b: np.ndarray, enough: int) -> list[tuple[int,
 
 
 def _candidates(enough: int):
-    """Meetings sorted by (a, b) to (a, b, from_a, to_a, from_b, to_b)."""
+    """Meetings sorted by (a, b) to (a, b, from_a, to_a, from_b, to_b); rows of crowds to (key, null, first start, last start, least, null)."""
 
     def found(rows: list[np.ndarray]) -> pa.RecordBatch | None:
         a, b, at_a, at_b = rows
@@ -240,7 +203,13 @@ def _candidates(enough: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if batch.column(1).null_count:
+                alone = batch.filter(batch.column(1).is_null())
+                yield pa.RecordBatch.from_arrays([alone.column(k) for k in (0, 1, 2, 3, 4, 1)], BOX)
+                batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows:
+                continue
+            now = [batch.column(k).to_numpy() for k in range(4)]
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest else now
             edge = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0))
             cut = edge[-1] + 1 if len(edge) else 0
@@ -259,15 +228,31 @@ def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _passages(words: int, window: int):
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, start, end, tokens = [], [], [], []
-        for k, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            token = (shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32)
-            for r in ranges:
-                key.append(k), start.append(r["start"]), end.append(r["end"]), tokens.append(token[r["start"] : r["end"] + window].tobytes())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, start, end)), pa.array(tokens, pa.binary())], ["key", "start", "end", "tokens"])
+    """(key, text, ranges), sorted by key, to the tokens of each range, of a text once."""
 
-    return rows
+    def batch_of(*cols: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["key", "start", "end", "least", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held, out = None, 0, ([], [], [], [], [])
+        for batch in batches:
+            for k, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k == before:
+                    continue
+                before = k
+                token = (shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32)
+                for r in ranges:
+                    row = k, r["start"], r["end"], r["least"], token[r["start"] : r["end"] + window].tobytes()
+                    held += len(row[-1])
+                    for col, x in zip(out, row, strict=True):
+                        col.append(x)
+                    if held >= PIECE:
+                        yield batch_of(*out)
+                        held, out = 0, ([], [], [], [], [])
+        if out[0]:
+            yield batch_of(*out)
+
+    return run
 
 
 def alike(x: np.ndarray, y: np.ndarray, window: int, similarity: float) -> np.ndarray:
@@ -308,11 +293,197 @@ def _alike(window: int, similarity: float):
         if not out:
             return None
         one, many = pa.int64(), pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (one, one, many, many), strict=True)], ["a", "b", "starts_a", "starts_b"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (one, one, many, many), strict=True)], FOUND)
 
     return rows
 
 
+def crowd_links(key: np.ndarray, start: np.ndarray, tokens: list[bytes], window: int, similarity: float) -> tuple[list[int], list[int], list[list[int]]]:
+    """(a, b, starts_a) that link the texts of a crowd as comparing all its windows would, and the starts of a that are alike with another text's.
+
+    Linear in the crowd: a text has one row, with another of its class.  No pair of windows is left
+    out but such as cannot be alike, or whose texts are linked and whose windows both have a partner.
+    """
+    texts, text = np.unique(key, return_inverse=True)
+    if len(texts) < 2:
+        return [], [], []
+    # equal passages are one
+    known: dict[bytes, int] = {}
+    kind = np.array([known.setdefault(x, len(known)) for x in tokens])
+    weight, lo, hi = np.bincount(kind), np.full(len(known), len(texts)), np.full(len(known), -1)
+    np.minimum.at(lo, kind, text), np.maximum.at(hi, kind, text)
+    parts = [np.frombuffer(x, np.uint32) for x in known]
+    size = np.array([len(x) for x in parts])
+    base, own = np.cumsum(size) - size, np.repeat(np.arange(len(parts)), size)
+    values, ids = np.unique(np.concatenate(parts), return_inverse=True)
+    none = len(values)
+    first, last = np.full(none + 1, len(texts)), np.full(none + 1, -1)
+    np.minimum.at(first, ids, lo[own]), np.maximum.at(last, ids, hi[own])
+    alone = first == last  # tokens of one text; a window with many of them is like no other text's
+    once_ = np.zeros(len(ids), bool)
+    once_[np.unique(own * (none + 1) + ids, return_index=True)[1]] = True
+    lost = np.append(0, np.cumsum(once_ & alone[ids]))
+    at = np.flatnonzero(own[: len(own) - window + 1] == own[window - 1 :])
+    # sets of n and m tokens are alike from this share of n + m in common on; m is ``floor`` at least
+    share = similarity / (1 + similarity)
+    floor = window if once_.all() else 1
+    at = at[lost[at + window] - lost[at] <= window - np.maximum(share * (window + floor), similarity * window) + 1e-6]
+    sets, marks = [], []
+    mixed = np.append(splitmix(np.arange(none, dtype=np.uint64)), np.uint64(0))
+    for block in np.split(at, range(1 << 15, len(at), 1 << 15)):
+        rows = np.sort(ids[block[:, None] + np.arange(window)].astype(np.int32), axis=1)
+        rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none
+        sets.append(rows), marks.append(mixed[rows].sum(axis=1))
+    _, pick, node = np.unique(np.concatenate(marks), return_index=True, return_inverse=True)
+    rows, count = np.concatenate(sets)[pick], len(pick)
+    least, most = np.full(count, len(texts)), np.full(count, -1)
+    np.minimum.at(least, node, lo[own[at]]), np.maximum.at(most, node, hi[own[at]])
+    sizes = (rows < none).sum(axis=1)
+    left, before = np.ones(count, bool), -1
+    while left.any() and left.sum() != before:
+        before, floor = left.sum(), sizes[left].min()
+        need = np.maximum(share * (sizes + floor), similarity * sizes) - 1e-6
+        first[:], last[:] = len(texts), -1
+        np.minimum.at(first, rows[left], least[left, None]), np.maximum.at(last, rows[left], most[left, None])
+        alone = first == last
+        alone[none] = False
+        left &= sizes - alone[rows].sum(axis=1) >= need
+    if not left.any():
+        return [], [], []
+    on = left[node]
+    place, node = at[on], (np.cumsum(left) - 1)[node[on]]
+    rows, sizes, need, least, most = rows[left], sizes[left], need[left], least[left], most[left]
+    of, count = own[place], len(rows)
+    times, several = np.bincount(node, weight[of]), least < most
+
+    root = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def union(x: np.ndarray, y: np.ndarray) -> None:
+        for code in np.unique(x * len(texts) + y).tolist():
+            u, v = find(code // len(texts)), find(code % len(texts))
+            root[max(u, v)] = min(u, v)
+
+    here = np.zeros(len(parts), bool)
+    here[of] = True
+    union(text[here[kind]], lo[kind][here[kind]]), union(lo[of], least[node])
+    # windows alike have one of their rarest tokens in common, of so many that the others are too few
+    rank = np.full(none + 1, none)
+    rank[np.lexsort((np.bincount(ids[once_], minlength=none), ~alone[:none]))] = np.arange(none)
+    rows, lonely = np.sort(rank[rows], axis=1), np.append(np.sort(alone[:none])[::-1], True)
+    most_rare = int((sizes - np.ceil(need)).max()) + 1
+    rare = rows[:, :most_rare]
+    rare = np.where((np.arange(rare.shape[1]) <= (sizes - np.ceil(need))[:, None]) & ~lonely[rare], rare, none)
+    flat = np.flatnonzero(rare.ravel() < none)
+    flat = flat[np.argsort(rare.ravel()[flat], kind="stable")]
+    listed = flat // rare.shape[1]
+    many = np.bincount(rare.ravel()[flat], minlength=none + 1)
+    begins = np.cumsum(many) - many
+    load = many[rare].sum(axis=1)
+    # each token turns one of 128 bits, so that sets differ in no fewer tokens than bits
+    bit = splitmix(np.arange(none, dtype=np.uint64)) & np.uint64(127)
+    bits = [np.append(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), np.uint64(0)) for k in range(2)]
+    bits = [np.bitwise_xor.reduce(b[rows], axis=1) for b in bits]
+    covered, settled = several.copy(), np.zeros(count, bool)
+
+    def meet(xs: np.ndarray) -> np.ndarray:
+        """All windows alike with one of ``xs`` and not of its one text."""
+        held = np.zeros((len(xs), none + 1), bool)
+        held[np.arange(len(xs))[:, None], rows[xs]] = True
+        held[:, none] = False
+        x, token = np.repeat(np.arange(len(xs)), rare.shape[1]), rare[xs].ravel()
+        n = many[token]
+        x, y = np.repeat(x, n), listed[np.repeat(begins[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        apart = np.bitwise_count(bits[0][xs][x] ^ bits[0][y]) + np.bitwise_count(bits[1][xs][x] ^ bits[1][y])
+        on = np.flatnonzero(apart <= (1 - 2 * share) * (sizes[xs][x] + sizes[y]) + 1e-6)
+        x, y = x[on], y[on]
+        on = several[xs[x]] | several[y] | (least[xs[x]] != least[y])
+        x, y = x[on], y[on]
+        near = [np.empty(0, bool)]
+        for i in range(0, len(x), 1 << 16):
+            u, v = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
+            both = held[u[:, None], rows[v]].sum(axis=1)
+            near.append(both >= similarity * (sizes[xs[u]] + sizes[v] - both))
+        near = np.concatenate(near)
+        x, y = xs[x[near]], y[near]
+        covered[x] = covered[y] = True
+        union(least[x], least[y])
+        return y
+
+    def batches(open_: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+        """The windows that are open, the most frequent first, in batches that grow."""
+        rest, step = np.argsort(-times, kind="stable"), 1
+        while len(rest := rest[open_(rest)]):
+            fit = int(np.searchsorted(np.cumsum(load[rest[:step]]), PAIRS, "right"))
+            fit = max(1, min(fit, step, (1 << 24) // (none + 1)))
+            yield rest[:fit]
+            rest, step = rest[fit:], 2 * step
+
+    met = np.zeros(count, bool)
+    for xs in batches(lambda rest: ~settled[rest]):
+        settled[meet(xs)] = True
+        met[xs] = settled[xs] = True
+    # windows of different classes, neither of which has met all
+    classes = np.array([find(t) for t in least[covered].tolist()])
+    if len(classes) and (classes != classes[0]).any():
+        main = int(np.bincount(classes).argmax())
+        open_ = lambda rest: ~met[rest] & (np.array([find(t) for t in least[rest].tolist()]) != find(main))
+        for xs in batches(open_):
+            meet(xs)
+
+    on = covered[node]
+    of, shift = of[on], (place - base[own[place]])[on]
+    member = np.argsort(kind, kind="stable")
+    begin, n = (np.cumsum(weight) - weight)[of], weight[of]
+    row = member[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    whose, starts = text[row], start[row] + np.repeat(shift, n)
+    sort = np.lexsort((starts, whose))
+    whose, starts = whose[sort], starts[sort]
+    new = np.append(True, (whose[1:] != whose[:-1]) | (starts[1:] != starts[:-1])) if len(whose) else np.empty(0, bool)
+    whose, starts = whose[new], starts[new]
+    edge = np.flatnonzero(np.append(True, whose[1:] != whose[:-1])) if len(whose) else []
+    a, b, out, other = [], [], [], {}
+    for mine, part in zip(whose[edge].tolist(), np.split(starts, edge[1:]), strict=True) if len(whose) else ():
+        if (r := find(mine)) != mine:
+            other[r] = mine
+        a.append(mine), b.append(r), out.append(_thin(part, window))
+    b = [other[y] if x == y else y for x, y in zip(a, b, strict=True)]
+    return texts[np.array(a, np.int64)].tolist(), texts[np.array(b, np.int64)].tolist(), out
+
+
+def _crowds(window: int, similarity: float):
+    """(least, key, start, tokens) sorted by least to rows as of ``_alike``, crowd by crowd."""
+
+    def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (1, 2))
+        a, b, starts = crowd_links(key, start, [t for x in held for t in x.column(3).to_pylist()], window, similarity)
+        for i in range(0, len(a), 1 << 14):
+            part, many = slice(i, i + (1 << 14)), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a[part], pa.int64()), pa.array(b[part], pa.int64()), pa.array(starts[part], many), pa.array([[]] * len(a[part]), many)], FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, token = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            least = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(least)], strict=True):
+                if held and least[s] != token:
+                    yield from links(held)
+                    held = []
+                token = least[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from links(held)
+
+    return run
+
+
 def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, window: int = WINDOW, hashes: int = HASHES, enough: int = ENOUGH, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(doc_id, class_id, n_words, n_shared, spans) for every row.
 
@@ -322,25 +493,30 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``class_id`` is the smallest id that is reached by sharing passages, the
     row's own if there is none.  Texts too short for a window, and null ones,
     share nothing.  Rows equal in id and text are copies too.  Texts are told apart by
-    a 64-bit hash.  ``cell`` is the crowd beyond which windows of one least token meet the
-    first and their neighbours only.  Only the id and text columns are read.
+    a 64-bit hash.  Beyond ``cell`` windows of one least token they are compared as a crowd, in
+    full and within one task, and not by pairs of texts.  Only the id and text columns are read.
     """
     if not 1 <= window <= 255:
         raise ValueError("a window has 1 to 255 shingles")
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), as_bytes(text_col).alias("text"))
-    rows = source.select("key", "text").mapInArrow(_windows(words, window, hashes, cell), "least bigint, key bigint, place bigint, b bigint, at_b bigint")
-    met = rows.repartition("least").sortWithinPartitions("least", "key", "place").mapInArrow(lambda it: _meetings(it, cell), "a bigint, b bigint, at_a bigint, at_b bigint")
-    near = met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_candidates(enough), ", ".join(f"{c} bigint" for c in BOX))
-    near = materialize(near.distinct(), "candidates")
-    ends = near.select("a", F.struct(F.col("from_a").alias("start"), F.col("to_a").alias("end")).alias("r")).unionByName(near.select(F.col("b").alias("a"), F.struct(F.col("from_b").alias("start"), F.col("to_b").alias("end")).alias("r")))
-    wanted = materialize(ends.groupBy(F.col("a").alias("key")).agg(F.collect_set("r").alias("ranges")), "wanted")
-    passages = map_arrow(source.join(wanted.hint("merge"), "key").select("key", "text", "ranges"), _passages(words, window), "key bigint, start bigint, end bigint, tokens binary")
-    passages = materialize(passages.groupBy("key", "start", "end").agg(F.first("tokens").alias("tokens")), "passages")
+    rows = source.select("key", "text").mapInArrow(_windows(words, window, hashes), "least bigint, key bigint, place bigint")
+    met = rows.repartition("least").sortWithinPartitions("least", "key", "place").mapInArrow(lambda it: _meetings(it, cell), ", ".join(f"{c} bigint" for c in MET))
+    boxes = met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_candidates(enough), ", ".join(f"{c} bigint" for c in BOX))
+    boxes = materialize(boxes.distinct(), "candidates")
+    near, crowd = boxes.where("b is not null"), boxes.where("b is null")
+    ends = [near.select(F.col(k).alias("key"), F.struct(F.col(f"from_{k}").alias("start"), F.col(f"to_{k}").alias("end"), F.lit(None).cast("bigint").alias("least")).alias("r")) for k in "ab"]
+    ends.append(crowd.select(F.col("a").alias("key"), F.struct(F.col("from_a").alias("start"), F.col("to_a").alias("end"), F.col("from_b").alias("least")).alias("r")))
+    wanted = materialize(ends[0].unionByName(ends[1]).unionByName(ends[2]).groupBy("key").agg(F.collect_set("r").alias("ranges")), "wanted")
+    cut = source.join(wanted.hint("merge"), "key").select("key", "text", "ranges").mapInArrow(_passages(words, window), "key bigint, start bigint, end bigint, least bigint, tokens binary")
+    cut = materialize(cut, "passages")
+    passages = cut.where("least is null").groupBy("key", "start", "end").agg(F.first("tokens").alias("tokens"))
     left = passages.select(F.col("key").alias("a"), F.col("start").alias("from_a"), F.col("end").alias("to_a"), F.col("tokens").alias("x"))
     right = passages.select(F.col("key").alias("b"), F.col("start").alias("from_b"), F.col("end").alias("to_b"), F.col("tokens").alias("y"))
     both = near.join(left, ["a", "from_a", "to_a"]).join(right, ["b", "from_b", "to_b"]).select("a", "b", "from_a", "from_b", "x", "y")
-    found = materialize(map_arrow(both, _alike(window, similarity), "a bigint, b bigint, starts_a array<bigint>, starts_b array<bigint>"), "alike")
+    alikes = "a bigint, b bigint, starts_a array<bigint>, starts_b array<bigint>"
+    crowds = cut.where("least is not null").select("least", "key", "start", "tokens").repartition("least").sortWithinPartitions("least", "key", "start").mapInArrow(_crowds(window, similarity), alikes)
+    found = materialize(map_arrow(both, _alike(window, similarity), alikes).unionByName(crowds), "alike")
     roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     kind = docs.schema[id_col].dataType.simpleString()

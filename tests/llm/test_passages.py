@@ -127,3 +127,100 @@ def test_spans_against_brute_force(spark):
         got = {k for s in row.spans for k in range(s.start, s.end)}
         assert same[row.doc_id] <= got <= near[row.doc_id]
     assert all(near) and all(same[i] for i in (0, 1, 4, 5, 16))
+
+
+def linked(n, pairs):
+    """The smallest member of each one's class."""
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_crowds_against_brute_force(seed):
+    """Families of edited passages, equal ones, ones twice in a text and strangers, with one token in common."""
+    r = np.random.default_rng(seed)
+    w, similarity = (8, 0.6) if seed % 2 else (12, 0.8)
+    key, start, rows = [], [], []
+    bases = [r.integers(1, 40 if seed % 3 else 9, r.integers(w, 3 * w)) for _ in range(4)]
+    for text in range(60):
+        for _ in range(r.integers(1, 3)):
+            x = bases[r.integers(0, 4)].copy() if r.random() < 0.8 else r.integers(1, 60, r.integers(w, 2 * w))
+            for at in r.integers(0, len(x), r.integers(0, 5)):
+                x[at] = r.integers(1, 10_000)
+            x = np.insert(x[: r.integers(w, len(x) + 1)], w // 2, 0)[:-1].astype(np.uint32)
+            key.append(text * 7), start.append(100 * len(start)), rows.append(x)
+    windows = [(k // 7, s + i, frozenset(x[i : i + w].tolist())) for k, s, x in zip(key, start, rows, strict=True) for i in range(len(x) - w + 1)]
+    pairs = [(a, b) for a in windows for b in windows if a[0] < b[0] and len(a[2] & b[2]) >= similarity * len(a[2] | b[2])]
+    want, roots = [set() for _ in range(60)], linked(60, {(a[0], b[0]) for a, b in pairs})
+    for pair in pairs:
+        for text, s, _ in pair:
+            want[text].update(range(s, s + w))
+    for sort in (np.arange(len(key)), r.permutation(len(key))):
+        a, b, starts = passages.crowd_links(np.array(key)[sort], np.array(start)[sort], [rows[i].tobytes() for i in sort], w, similarity)
+        got = [set() for _ in range(60)]
+        for k, part in zip(a, starts, strict=True):
+            for s in part:
+                got[k // 7].update(range(s, s + w))
+        assert got == want
+        assert linked(60, [(x // 7, y // 7) for x, y in zip(a, b, strict=True)]) == roots
+        assert len(a) == len(set(a)) and all(x != y for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_edits_of_one_passage_keep_every_link(spark, parts):
+    """Many edits of a passage, few of them alike: classes and words are those of all pairs of windows, however rows are dealt."""
+    r = random.Random(5)
+    base = corpus(r, 1, 60)[0]
+    docs = []
+    for i in range(150):
+        w = [x if r.random() > 0.012 else f"edit{i}x{k}" for k, x in enumerate(base)]
+        if i % 5 == 0 and i:  # an edit of an edit, often too far from the passage itself
+            w = list(docs[i - 1][20:80])
+            w[r.randrange(60)] = f"again{i}"
+        docs.append(corpus(r, 1, 20)[0] + w + corpus(r, 1, 20)[0])
+    shingles = [[hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)] for w in docs]
+    windows = [(d, i, frozenset(s[i : i + 46])) for d, s in enumerate(shingles) for i in range(len(s) - 45)]
+    ids = {x: i for i, x in enumerate({x for s in shingles for x in s})}
+    held = np.zeros((len(windows), len(ids)), np.float32)
+    for k, (_, _, x) in enumerate(windows):
+        held[k, [ids[y] for y in x]] = 1
+    both, text = held @ held.T, np.array([d for d, _, _ in windows])
+    near = (both >= 0.8 * (92 - both)) & (text[:, None] != text)
+    roots = linked(150, set(zip(text[np.nonzero(near)[0]].tolist(), text[np.nonzero(near)[1]].tolist(), strict=True)))
+    want = [set() for _ in docs]
+    for k in np.flatnonzero(near.any(axis=1)).tolist():
+        want[windows[k][0]].update(range(windows[k][1], windows[k][1] + 50))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(parts)
+    got = {x.doc_id: x for x in near_passages(df).collect()}
+    assert [got[i].class_id for i in range(150)] == roots
+    assert [{k for s in got[i].spans for k in range(s.start, s.end)} for i in range(150)] == want
+
+
+def test_crowds_over_batches():
+    """Borders of batches change nothing: rows of crowds leave once, pairs of small groups all."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    rows = sorted({(int(t), int(k), int(s) * 10 << 24 | 3 << 8) for t, n in enumerate(r.integers(1, 12, 60)) for k, s in r.integers(0, 6, (n, 2))})
+    rows = [x for x in rows for _ in range(r.integers(1, 3))]
+
+    def met(size):
+        cols = [[x[k] for x in rows] for k in range(3)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size], pa.int64()) for c in cols], passages.ROW) for i in range(0, len(rows), size)]
+        return sorted((tuple(x.values()) for b in passages._meetings(iter(batches), 4) for x in b.to_pylist()), key=str)
+
+    want = []
+    for t in {x[0] for x in rows}:
+        mine = sorted({x for x in rows if x[0] == t})
+        if len(mine) > 4:
+            want += [(k, None, p >> 24, (p >> 24) + 3, t) for _, k, p in mine]
+        else:
+            want += [(x[1], y[1], x[2], y[2], None) for i, x in enumerate(mine) for y in mine[i + 1 :] if x[1] != y[1]]
+    for size in (1, 2, 7, 1000):
+        assert met(size) == sorted(want, key=str)
