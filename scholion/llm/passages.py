@@ -272,6 +272,8 @@ def alike(x: np.ndarray, y: np.ndarray, window: int, similarity: float) -> np.nd
 
 def _thin(starts: np.ndarray, window: int) -> list[int]:
     """Of runs of consecutive starts the ends, and so many between that windows touch."""
+    if starts[-1] - starts[0] == len(starts) - 1:
+        return [*range(int(starts[0]), int(starts[-1]), window), int(starts[-1])]
     edge = np.flatnonzero(np.diff(starts) != 1)
     out: list[int] = []
     for s, e in zip(starts[np.append(0, edge + 1)].tolist(), starts[np.append(edge, len(starts) - 1)].tolist(), strict=True):
@@ -371,69 +373,71 @@ def crowd_links(key: np.ndarray, start: np.ndarray, tokens: list[bytes], window:
     here = np.zeros(len(parts), bool)
     here[of] = True
     union(text[here[kind]], lo[kind][here[kind]]), union(lo[of], least[node])
-    # windows alike have one of their rarest tokens in common, of so many that the others are too few
-    rank = np.full(none + 1, none)
-    rank[np.lexsort((np.bincount(ids[once_], minlength=none), ~alone[:none]))] = np.arange(none)
-    rows, lonely = np.sort(rank[rows], axis=1), np.append(np.sort(alone[:none])[::-1], True)
-    most_rare = int((sizes - np.ceil(need)).max()) + 1
-    rare = rows[:, :most_rare]
-    rare = np.where((np.arange(rare.shape[1]) <= (sizes - np.ceil(need))[:, None]) & ~lonely[rare], rare, none)
-    flat = np.flatnonzero(rare.ravel() < none)
-    flat = flat[np.argsort(rare.ravel()[flat], kind="stable")]
-    listed = flat // rare.shape[1]
-    many = np.bincount(rare.ravel()[flat], minlength=none + 1)
-    begins = np.cumsum(many) - many
-    load = many[rare].sum(axis=1)
-    # each token turns one of 128 bits, so that sets differ in no fewer tokens than bits
-    bit = splitmix(np.arange(none, dtype=np.uint64)) & np.uint64(127)
-    bits = [np.append(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), np.uint64(0)) for k in range(2)]
-    bits = [np.bitwise_xor.reduce(b[rows], axis=1) for b in bits]
-    covered, settled = several.copy(), np.zeros(count, bool)
-
-    def meet(xs: np.ndarray) -> np.ndarray:
-        """All windows alike with one of ``xs`` and not of its one text."""
-        held = np.zeros((len(xs), none + 1), bool)
-        held[np.arange(len(xs))[:, None], rows[xs]] = True
-        held[:, none] = False
-        x, token = np.repeat(np.arange(len(xs)), rare.shape[1]), rare[xs].ravel()
-        n = many[token]
-        x, y = np.repeat(x, n), listed[np.repeat(begins[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        apart = np.bitwise_count(bits[0][xs][x] ^ bits[0][y]) + np.bitwise_count(bits[1][xs][x] ^ bits[1][y])
-        on = np.flatnonzero(apart <= (1 - 2 * share) * (sizes[xs][x] + sizes[y]) + 1e-6)
-        x, y = x[on], y[on]
-        on = several[xs[x]] | several[y] | (least[xs[x]] != least[y])
-        x, y = x[on], y[on]
-        near = [np.empty(0, bool)]
-        for i in range(0, len(x), 1 << 16):
-            u, v = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
-            both = held[u[:, None], rows[v]].sum(axis=1)
-            near.append(both >= similarity * (sizes[xs[u]] + sizes[v] - both))
-        near = np.concatenate(near)
-        x, y = xs[x[near]], y[near]
-        covered[x] = covered[y] = True
-        union(least[x], least[y])
-        return y
-
-    def batches(open_: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
-        """The windows that are open, the most frequent first, in batches that grow."""
-        rest, step = np.argsort(-times, kind="stable"), 1
-        while len(rest := rest[open_(rest)]):
-            fit = int(np.searchsorted(np.cumsum(load[rest[:step]]), PAIRS, "right"))
-            fit = max(1, min(fit, step, (1 << 24) // (none + 1)))
-            yield rest[:fit]
-            rest, step = rest[fit:], 2 * step
-
-    met = np.zeros(count, bool)
-    for xs in batches(lambda rest: ~settled[rest]):
-        settled[meet(xs)] = True
-        met[xs] = settled[xs] = True
-    # windows of different classes, neither of which has met all
-    classes = np.array([find(t) for t in least[covered].tolist()])
-    if len(classes) and (classes != classes[0]).any():
-        main = int(np.bincount(classes).argmax())
-        open_ = lambda rest: ~met[rest] & (np.array([find(t) for t in least[rest].tolist()]) != find(main))
-        for xs in batches(open_):
-            meet(xs)
+    covered = several.copy()
+    if not covered.all() or len({find(t) for t in np.unique(least).tolist()}) > 1:
+        # windows alike have one of their rarest tokens in common, of so many that the others are too few
+        rank = np.full(none + 1, none)
+        rank[np.lexsort((np.bincount(ids[once_], minlength=none), ~alone[:none]))] = np.arange(none)
+        rows, lonely = np.sort(rank[rows], axis=1), np.append(np.sort(alone[:none])[::-1], True)
+        most_rare = int((sizes - np.ceil(need)).max()) + 1
+        rare = rows[:, :most_rare]
+        rare = np.where((np.arange(rare.shape[1]) <= (sizes - np.ceil(need))[:, None]) & ~lonely[rare], rare, none)
+        flat = np.flatnonzero(rare.ravel() < none)
+        flat = flat[np.argsort(rare.ravel()[flat], kind="stable")]
+        listed = flat // rare.shape[1]
+        many = np.bincount(rare.ravel()[flat], minlength=none + 1)
+        begins = np.cumsum(many) - many
+        load = many[rare].sum(axis=1)
+        # each token turns one of 128 bits, so that sets differ in no fewer tokens than bits
+        bit = splitmix(np.arange(none, dtype=np.uint64)) & np.uint64(127)
+        bits = [np.append(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), np.uint64(0)) for k in range(2)]
+        bits = [np.bitwise_xor.reduce(b[rows], axis=1) for b in bits]
+        settled = np.zeros(count, bool)
+
+        def meet(xs: np.ndarray) -> np.ndarray:
+            """All windows alike with one of ``xs`` and not of its one text."""
+            held = np.zeros((len(xs), none + 1), bool)
+            held[np.arange(len(xs))[:, None], rows[xs]] = True
+            held[:, none] = False
+            x, token = np.repeat(np.arange(len(xs)), rare.shape[1]), rare[xs].ravel()
+            n = many[token]
+            x, y = np.repeat(x, n), listed[np.repeat(begins[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            apart = np.bitwise_count(bits[0][xs][x] ^ bits[0][y]) + np.bitwise_count(bits[1][xs][x] ^ bits[1][y])
+            on = np.flatnonzero(apart <= (1 - 2 * share) * (sizes[xs][x] + sizes[y]) + 1e-6)
+            x, y = x[on], y[on]
+            on = several[xs[x]] | several[y] | (least[xs[x]] != least[y])
+            x, y = x[on], y[on]
+            near = [np.empty(0, bool)]
+            for i in range(0, len(x), 1 << 16):
+                u, v = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
+                both = held[u[:, None], rows[v]].sum(axis=1)
+                near.append(both >= similarity * (sizes[xs[u]] + sizes[v] - both))
+            near = np.concatenate(near)
+            x, y = xs[x[near]], y[near]
+            covered[x] = covered[y] = True
+            union(least[x], least[y])
+            return y
+
+        def batches(open_: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+            """The windows that are open, the most frequent first, in batches that grow."""
+            rest, step = np.argsort(-times, kind="stable"), 1
+            while len(rest := rest[open_(rest)]):
+                fit = int(np.searchsorted(np.cumsum(load[rest[:step]]), PAIRS, "right"))
+                fit = max(1, min(fit, step, (1 << 24) // (none + 1)))
+                yield rest[:fit]
+                rest, step = rest[fit:], 2 * step
+
+        met = np.zeros(count, bool)
+        for xs in batches(lambda rest: ~settled[rest] & ~covered.all()):
+            settled[meet(xs)] = True
+            met[xs] = settled[xs] = True
+        # windows of different classes, neither of which has met all
+        classes = np.array([find(t) for t in least[covered].tolist()])
+        if len(classes) and (classes != classes[0]).any():
+            main = int(np.bincount(classes).argmax())
+            open_ = lambda rest: ~met[rest] & (np.array([find(t) for t in least[rest].tolist()]) != find(main))
+            for xs in batches(open_):
+                meet(xs)
 
     on = covered[node]
     of, shift = of[on], (place - base[own[place]])[on]
